@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from idloom.llm import lang_id
+from idloom.llm import lang_id, url_filter
 
-MODULES = (lang_id,)
+MODULES = (lang_id, url_filter)
 
 
 def queries() -> dict:
