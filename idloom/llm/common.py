@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +58,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_STATE: dict[str, object] = {}
+
+
+def worker_state(token: str, build: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one thing at a time, so memory stays bounded."""
+    if token not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        _STATE[token] = build()
+    return _STATE[token]
+
+
+def token() -> str:
+    return uuid.uuid4().hex
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each has about limit bytes of the column; no text is cut."""
     for batch in batches:
@@ -71,7 +88,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             at = to
 
 
-def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, setup: Callable[[], None] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """fn over bounded pieces of df's Arrow batches."""
     small_batches(df.sparkSession)
 

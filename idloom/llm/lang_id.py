@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idloom.llm import ppm
-from idloom.llm.common import in_fold, map_texts, pieces, small_batches, table
+from idloom.llm.common import in_fold, map_texts, pieces, small_batches, table, token, worker_state
 
-ORDER = 4
+ORDER = 3
 #: Learned documents of each language, on average.
 SAMPLE = 400
 UNDETERMINED = "und"
@@ -73,17 +73,16 @@ def predict(docs: DataFrame, names: list[str], models: list[ppm.Model], keep: li
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
     source = docs.select(*keep, F.when(has_letter(F.col(text)), F.col(text)).alias("__text"))
     shared = spark.sparkContext.broadcast(models)
-    state: dict = {}
+    own = token()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("__text").to_pylist()
         some = [i for i, t in enumerate(texts) if t is not None] if names else []
         lang, score, per_byte = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [None] * len(texts)
         if some:
-            if "scorer" not in state:
-                state["scorer"] = ppm.Scorer(shared.value, order)
+            scorer = worker_state(own, lambda: ppm.Scorer(shared.value, order))
             raw = [texts[i].encode() for i in some]
-            bits = state["scorer"].bits(raw)
+            bits = scorer.bits(raw)
             best = np.argmin(bits, axis=1)
             least = bits[np.arange(len(some)), best]
             p = 1.0 / np.exp2(np.minimum(0, least[:, None] - bits)).sum(axis=1)
