@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from idloom.llm import bpe, lang_id, token_count, url_filter
+from idloom.llm import bpe, lang_id, simhash, token_count, url_filter
 
-MODULES = (lang_id, token_count, url_filter, bpe)
+MODULES = (lang_id, token_count, url_filter, bpe, simhash)
 
 
 def queries() -> dict:
