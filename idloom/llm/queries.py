@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from idloom.llm import bpe, lang_id, simhash, token_count, url_filter
+from idloom.llm import bpe, lang_id, simhash, token_count, topk, url_filter
 
-MODULES = (lang_id, token_count, url_filter, bpe, simhash)
+MODULES = (lang_id, token_count, url_filter, bpe, simhash, topk)
 
 
 def queries() -> dict:
