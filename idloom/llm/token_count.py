@@ -33,7 +33,7 @@ VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁"
 #: States, and words of the table, that a worker keeps before it starts anew.
-STATES, WORDS, LONGEST_WORD = 400_000, 400_000, 48
+STATES, WORDS, LONGEST_WORD = 400_000, 300_000, 24
 #: Characters of a chunk.
 CHUNK = 1 << 16
 
@@ -85,13 +85,13 @@ class Transducer:
         barrier = "" if "\n" in self.chars else "\n"
         self.words = re.compile(f"{MARK}*[^{MARK}{barrier}]+|{MARK}+" + f"|{barrier}+" * bool(barrier))
         self.borders: dict[tuple[int, int], bool] = {}
+        self.table: dict[str, int] = {}
         self._restart()
 
     def _restart(self) -> None:
         self.sets: list[tuple] = [((0, -1, 0),)]
         self.ids: dict[tuple, int] = {self.sets[0]: 0}
         self.next: list[dict[str, tuple[int, int]]] = [{}]
-        self.table: dict[str, int] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE by definition, for two pieces at a time."""
@@ -170,8 +170,10 @@ class Transducer:
     def count(self, text: str, chunk: int = CHUNK) -> int:
         if not text:
             return 0
-        if len(self.sets) > STATES or len(self.table) > WORDS:
+        if len(self.sets) > STATES:
             self._restart()
+        if len(self.table) > WORDS:
+            self.table.clear()
         marked = MARK + text.replace(" ", MARK)
         maps = [self.chunk_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)]
         while len(maps) > 1:
