@@ -32,8 +32,8 @@ from idloom.llm.common import map_texts, table, token, worker_state
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker keeps, and the longest of them.
 WORDS, LONGEST_WORD = 250_000, 48
+_HALF = 20  # bits of an id in a pair
 _PLAIN = regex.compile(r"[^\x00-˿‐-‧€]")
-_SPACE = regex.compile(r"\s+")
 
 
 def default_path() -> str:
@@ -69,77 +69,94 @@ class Tokenizer:
         self.names = {i: t for t, i in {**self.vocab, **self.special}.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.end = model["end_of_word_suffix"]
-        self.bytes = byte_symbols()
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        self.pairs: list[tuple[int, int]] = []
-        for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            pair = self.vocab[a], self.vocab[b]
-            self.pairs.append(pair)
-            self.merges[pair] = rank, self.vocab[a + b]
+        symbols = byte_symbols()
+        self.byte = {c: b for b, c in enumerate(symbols)}
+        #: Ids of the first symbols: of the 256 bytes, then of the same at a word's end.
+        self.first = np.array([self.vocab[c + e] for e in ("", self.end) for c in symbols], np.int64)
+        self.ranks: dict[int, int] = {}
+        self.merges: list[tuple[int, int, int]] = []
+        for rank, (left, right) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
+            x, y = self.vocab[left], self.vocab[right]
+            self.merges.append((x, y, self.vocab[left + right]))
+            self.ranks[x << _HALF | y] = rank
+        self.first_ranks = np.array([[self.ranks.get(int(x) << _HALF | int(y), -1) for y in self.first] for x in self.first], np.int64)
+        self.name = [self.names.get(i, "") for i in range(max(self.names) + 1)]
         self.table: dict[str, tuple[bytes, str]] = {}
 
     def words(self, text: str) -> list[str]:
         if _PLAIN.search(text):
             return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
-        return self.pattern.findall(_SPACE.sub(" ", text).lower())
+        return self.pattern.findall(text.lower())  # no word holds white space, so its form doesn't matter
 
-    def symbols(self, word: str, mapped: bool) -> list[int]:
-        chars = word if mapped else [self.bytes[b] for b in word.encode()]
-        return [self.vocab[c] for c in chars[:-1]] + [self.vocab[chars[-1] + self.end]]
+    def raw(self, word: str, mapped: bool) -> bytes:
+        return bytes(map(self.byte.__getitem__, word)) if mapped else word.encode()
 
-    def merged(self, words: list[list[int]]) -> list[list[int]]:
+    def merged(self, words: list[bytes]) -> list[list[int]]:
         """Encodes all words at once, each as if alone."""
-        ids: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        first = []
-        for w in words:
-            first.append(at := len(ids))
-            ids.extend(w)
-            after.extend(range(at + 1, at + len(w) + 1))
-            after[-1] = -1
-            before.extend(range(at - 1, at + len(w) - 1))
-            before[at] = -1
-        places: dict[tuple[int, int], list[int]] = {}
-        for i, n in enumerate(after):
-            if n >= 0:
-                places.setdefault((ids[i], ids[n]), []).append(i)
-        merges = self.merges
-        active = sorted(merges[p][0] for p in places if p in merges)  # sorted: a heap
+        if not words:
+            return []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes) - 1
+        start = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        start[ends] += 256
+        rank = np.full(len(start), -1)
+        rank[:-1] = self.first_ranks[start[:-1], start[1:]]
+        rank[ends] = -1
+        places = np.flatnonzero(rank >= 0)
+        places = places[np.argsort(rank[places], kind="stable")]
+        found, at = np.unique(rank[places], return_index=True)
+        index = dict(zip(found.tolist(), [p.tolist() for p in np.split(places, at[1:])], strict=False))
+        active = found.tolist()  # sorted: a heap
+        after, before = np.arange(1, len(start) + 1), np.arange(-1, len(start) - 1)
+        after[ends] = -1
+        before[ends[:-1] + 1] = -1
+        ids, after, before = self.first[start].tolist(), after.tolist(), before.tolist()
+        merges, lookup = self.merges, self.ranks.get
         while active:
-            rank = heappop(active)
-            pair = left, right = self.pairs[rank]
-            at = sorted(places.pop(pair, ()))
-            new = merges[pair][1]
+            now = heappop(active)
+            left, right, new = merges[now]
+            at = index.pop(now)
+            at.sort()
             for k, i in enumerate(at):
                 n = after[i]
                 if ids[i] != left or n < 0 or ids[n] != right:
                     continue
                 ids[i], ids[n] = new, -1
                 after[i] = m = after[n]
+                lower = False
                 if m >= 0:
                     before[m] = i
-                for a, b in ((before[i], i), (i, m)):
-                    if a >= 0 and b >= 0 and (made := (ids[a], ids[b])) in merges:
-                        if made not in places:
-                            places[made] = []
-                            heappush(active, merges[made][0])
-                        places[made].append(a)
-                if active and active[0] < rank and k + 1 < len(at):
-                    places.setdefault(pair, []).extend(at[k + 1 :])
-                    heappush(active, rank)
+                    if (r := lookup(new << _HALF | ids[m])) is not None:
+                        if r in index:
+                            index[r].append(i)
+                        else:
+                            index[r] = [i]
+                            heappush(active, r)
+                            lower = r < now
+                p = before[i]
+                if p >= 0 and (r := lookup(ids[p] << _HALF | new)) is not None:
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        heappush(active, r)
+                        lower |= r < now
+                if lower and k + 1 < len(at):
+                    # what is left of this rank waits; the same rank may have become active anew
+                    if now in index:
+                        index[now].extend(at[k + 1 :])
+                    else:
+                        index[now] = at[k + 1 :]
+                        heappush(active, now)
                     break
-        out = []
-        for i in first:
-            word = []
-            while i >= 0:
-                word.append(ids[i])
-                i = after[i]
-            out.append(word)
-        return out
+        ids = np.array(ids)
+        kept = ids >= 0
+        cuts = np.cumsum(kept)[ends].tolist()
+        ids = ids[kept].tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.names[i] for i in ids])
+        return " ".join([self.name[i] for i in ids])
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """For each text its ids, as native 32-bit integers, and what they decode to."""
@@ -147,7 +164,7 @@ class Tokenizer:
             self.table.clear()
         known = self.table
         split: list[list[tuple[bool, list[str]]]] = []
-        fresh: dict[str, list[int]] = {}
+        fresh: dict[str, bytes] = {}
         for t in texts:
             parts = []
             for part in (self.cut.split(t) if "<|" in t else (t,)) if t else ():
@@ -161,19 +178,22 @@ class Tokenizer:
                     parts.append((True, words))
                     for w in words:
                         if w not in known and w not in fresh:
-                            fresh[w] = self.symbols(w[1:] if mapped else w, mapped)
+                            fresh[w] = self.raw(w[1:] if mapped else w, mapped)
             split.append(parts)
-        now = {w: (array("i", ids).tobytes(), self.decode(ids)) for w, ids in zip(fresh, self.merged(list(fresh.values())), strict=True)}
-        known.update((w, v) for w, v in now.items() if len(w) <= LONGEST_WORD)
+        name = self.name
+        known.update((w, (array("i", ids).tobytes(), " ".join([name[i] for i in ids]))) for w, ids in zip(fresh, self.merged(list(fresh.values())), strict=True))
         out = []
         for parts in split:
             got = []
             for plain, words in parts:
                 if plain:
-                    got += [known[w] if w in known else now[w] for w in words]
+                    got += [known[w] for w in words]
                 else:
                     got.append((array("i", [self.special[words[0]]]).tobytes(), words[0]))
             out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+        for w in fresh:
+            if len(w) > LONGEST_WORD:
+                del known[w]
         return out
 
 

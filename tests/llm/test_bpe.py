@@ -33,19 +33,30 @@ def test_against_library(own, library):
             assert decoded == library.decode(w.ids, skip_special_tokens=False), t[:80]
 
 
-def test_lower_rank_made_by_a_merge_goes_first(own):
+def test_all_words_at_once_as_each_alone(own):
     def alone(word):
-        word = list(word)
+        word = [own.vocab[c] for c in word[:-1]] + [own.vocab[word[-1] + own.end]]
         while True:
-            ranked = [(own.merges[p][0], i) for i, p in enumerate(zip(word, word[1:], strict=False)) if p in own.merges]
+            ranked = [(own.ranks[a << 20 | b], i) for i, (a, b) in enumerate(zip(word, word[1:], strict=False)) if a << 20 | b in own.ranks]
             if not ranked:
                 return word
             rank, i = min(ranked)
-            word[i : i + 2] = [own.merges[word[i], word[i + 1]][1]]
+            word[i : i + 2] = [own.merges[rank][2]]
 
     r = random.Random(6)
-    words = [own.symbols("".join(r.choices("abcdeinorstu", k=r.randrange(1, 30))), False) for _ in range(500)]
-    assert own.merged(words) == [alone(w) for w in words]
+    words = ["".join(r.choices("abcdeinorstu", k=r.randrange(1, 30))) for _ in range(500)] + ["a" * n for n in range(1, 40)]
+    assert own.merged([w.encode() for w in words]) == [alone(w) for w in words]
+
+
+def test_lower_rank_made_by_a_merge_goes_first(own, monkeypatch):
+    # ab: 1, c after ab: 0, so in abcab the c joins before the second ab is made
+    a, b, c = (own.vocab[x] for x in "abc")
+    be = own.vocab["b</w>"]
+    made = {0: (300, c, 301), 1: (a, b, 300), 2: (301, a, 302), 3: (a, be, 303), 4: (302, be, 304)}
+    monkeypatch.setattr(own, "merges", [made[i] for i in range(5)])
+    monkeypatch.setattr(own, "ranks", {x << 20 | y: i for i, (x, y, _) in made.items()})
+    monkeypatch.setattr(own, "first_ranks", np.array([[own.ranks.get(int(x) << 20 | int(y), -1) for y in own.first] for x in own.first]))
+    assert own.merged([b"abcab", b"ab"]) == [[304], [303]]
 
 
 def test_documents(spark, library):
