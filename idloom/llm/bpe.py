@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from idloom.llm.common import map_texts, table, token, worker_state
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker keeps, and the longest of them.
-WORDS, LONGEST_WORD = 250_000, 48
+#: Words that a worker keeps in each of two generations, and the longest of them.
+WORDS, LONGEST_WORD = 250_000, 32
 _HALF = 20  # bits of an id in a pair
 _PLAIN = regex.compile(r"[^\x00-˿‐-‧€]")
 
@@ -82,6 +82,7 @@ class Tokenizer:
         self.first_ranks = np.array([[self.ranks.get(int(x) << _HALF | int(y), -1) for y in self.first] for x in self.first], np.int64)
         self.name = [self.names.get(i, "") for i in range(max(self.names) + 1)]
         self.table: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def words(self, text: str) -> list[str]:
         if _PLAIN.search(text):
@@ -161,8 +162,8 @@ class Tokenizer:
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """For each text its ids, as native 32-bit integers, and what they decode to."""
         if len(self.table) > WORDS:
-            self.table.clear()
-        known = self.table
+            self.table, self.older = {}, self.table
+        known, older = self.table, self.older
         split: list[list[tuple[bool, list[str]]]] = []
         fresh: dict[str, bytes] = {}
         for t in texts:
@@ -177,7 +178,11 @@ class Tokenizer:
                     words = [" " + w for w in words] if mapped else words
                     parts.append((True, words))
                     for w in words:
-                        if w not in known and w not in fresh:
+                        if w in known or w in fresh:
+                            continue
+                        if w in older:
+                            known[w] = older[w]
+                        else:
                             fresh[w] = self.raw(w[1:] if mapped else w, mapped)
             split.append(parts)
         name = self.name
