@@ -32,8 +32,8 @@ from idloom.llm.common import map_texts, table, token, worker_state
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁"
-#: States, and words of the table, that a worker keeps before it starts anew.
-STATES, WORDS, LONGEST_WORD = 400_000, 300_000, 24
+#: States that a worker keeps before it starts anew, words in each of two generations, and the longest of them.
+STATES, WORDS, LONGEST_WORD = 400_000, 250_000, 24
 #: Characters of a chunk.
 CHUNK = 1 << 16
 
@@ -86,6 +86,7 @@ class Transducer:
         self.words = re.compile(f"{MARK}*[^{MARK}{barrier}]+|{MARK}+" + f"|{barrier}+" * bool(barrier))
         self.borders: dict[tuple[int, int], bool] = {}
         self.table: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self._restart()
 
     def _restart(self) -> None:
@@ -143,7 +144,9 @@ class Transducer:
     def word(self, text: str) -> int:
         n = self.table.get(text)
         if n is None:
-            n = self.run(0, text)[1]
+            n = self.older.get(text)
+            if n is None:
+                n = self.run(0, text)[1]
             if len(text) <= LONGEST_WORD:
                 self.table[text] = n
         return n
@@ -173,7 +176,7 @@ class Transducer:
         if len(self.sets) > STATES:
             self._restart()
         if len(self.table) > WORDS:
-            self.table.clear()
+            self.table, self.older = {}, self.table
         marked = MARK + text.replace(" ", MARK)
         maps = [self.chunk_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)]
         while len(maps) > 1:
