@@ -167,11 +167,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], **options) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    columns = docs.columns
-    blocks = len(matched(docs.limit(0), benchmark, columns, text=text, **options))
-    for b in range(blocks):
-        docs = matched(docs, benchmark, columns, text=text, **options)[b].filter(F.size("matches") == 0).drop("matches")
-    return docs
+    names, columns = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # whatever their own names are
+    own, docs = columns[names.index(text)], docs.toDF(*columns)
+    for b in range(len(matched(docs.limit(0), benchmark, columns, text=own, **options))):
+        docs = matched(docs, benchmark, columns, text=own, **options)[b].filter(F.size("matches") == 0).drop("matches")
+    return docs.toDF(*names)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
