@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from idloom.llm import bpe, decontaminate, lang_id, simhash, token_count, topk, url_filter
+from idloom.llm import bpe, decontaminate, lang_id, pii, simhash, token_count, topk, url_filter
 
-MODULES = (lang_id, decontaminate, token_count, url_filter, bpe, simhash, topk)
+MODULES = (lang_id, decontaminate, pii, token_count, url_filter, bpe, simhash, topk)
 
 
 def queries() -> dict:
