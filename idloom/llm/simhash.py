@@ -16,6 +16,7 @@ repeat as in the input; further columns are ignored. Very long texts are hashed
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -163,10 +164,16 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     tree = grow(np.sort(picked), max(4, len(picked) // max(1, shards)), radius)
 
     def deal(batches):
-        for b in batches:
-            fp = b.column("fp").to_numpy()
-            shard, index, who = route(tree, fp.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fp[index]), pa.array(who.astype(bool))], names=["shard", "fp", "visits"])
+        held, rows = [], 0
+        for b in chain(batches, [None]):  # None: no more come
+            if b is not None:
+                held.append(b.column("fp").to_numpy())
+                rows += len(held[-1])
+            if rows >= _BLOCK or b is None and rows:
+                fp = np.concatenate(held)
+                held, rows = [], 0
+                shard, index, who = route(tree, fp.view(np.uint64), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fp[index]), pa.array(who.astype(bool))], names=["shard", "fp", "visits"])
 
     def search(t: pa.Table) -> pa.Table:
         fp = t["fp"].to_numpy()
@@ -177,7 +184,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         return pa.table({"u": fp[some], "v": fp[root[some]]})
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.select("fp").mapInArrow(deal, "shard int, fp long, visits boolean").repartition(partitions, "shard").groupBy("shard").applyInArrow(search, "u long, v long")
+    return nodes.select("fp").repartition(partitions).mapInArrow(deal, "shard int, fp long, visits boolean").repartition(partitions, "shard").groupBy("shard").applyInArrow(search, "u long, v long")
 
 
 def stars(edges: DataFrame) -> DataFrame:
