@@ -61,7 +61,7 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     for l in names:
         own = name == l
         at = np.argsort(key[own], kind="stable")
-        models.append(ppm.Model(key[own][at], value[own][at], order))
+        models.append(ppm.Model(ppm.levels_of(key[own][at], value[own][at], order)))
     return names, models
 
 

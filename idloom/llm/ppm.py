@@ -2,8 +2,8 @@
 
 A text is a sequence of byte symbols closed by an end symbol. A model holds, for every context of up
 to `order` symbols that was seen, the counts of the symbols that followed. The probability of a symbol
-is method C's: in the longest known context, c / (n + d) for a symbol seen c times there among n with
-d distinct ones, else the escape d / (n + d) and the next shorter context with the symbols of the longer
+is method D's: in the longest known context, (2c - 1) / 2n for a symbol seen c times there among n with
+d distinct ones, else the escape d / 2n and the next shorter context with the symbols of the longer
 one excluded; below the empty context all symbols left are equally likely. Counts are plain counts, so
 the symbols of a context are among those of its suffix, which is why what an exclusion removes depends on
 one context only and can be tabled when the model is compiled.
@@ -59,21 +59,22 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def levels_of(keys: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Window counts of the orders 0 to `order`, from those of the last (sorted and distinct)."""
+    levels = [(keys, counts)]
+    for j in range(order - 1, -1, -1):
+        keys, counts = merge_counts([(keys & ((1 << BITS * (j + 1)) - 1), counts)])
+        levels.append((keys, counts))
+    return levels[::-1]
+
+
 class Model:
-    """A compiled context tree. keys must be sorted and distinct."""
+    """A compiled context tree, from sorted window counts of each order. A longer order may leave out windows, if every
+    one that it keeps has its shorter ones kept."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, least: int = 1):
-        """least: windows of the full order seen less often are left out of the deepest contexts; the
-        shorter contexts count them all the same."""
-        self.order = order
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
+        self.order = len(levels) - 1
         self.pairs, self.cost, self.contexts, self.escape, self.total, self.chain, self.left = [], [], [], [], [], [], []
-        levels = []
-        k, c = keys, counts
-        for j in range(order, -1, -1):
-            if j < order:
-                k, c = merge_counts([(k & ((1 << BITS * (j + 1)) - 1), c)])
-            levels.append((k, c) if j < order or least <= 1 else (k[c >= least], c[c >= least]))
-        levels.reverse()
         low_n = low_d = None
         for j, (k, c) in enumerate(levels):
             first = np.flatnonzero(np.concatenate(([True], (k[1:] >> BITS) != (k[:-1] >> BITS)))) if len(k) else np.zeros(0, np.int64)
@@ -81,10 +82,10 @@ class Model:
             n = np.add.reduceat(c, first).astype(np.float64) if len(k) else np.zeros(0)
             d = np.diff(np.concatenate((first, [len(k)]))).astype(np.float64)
             self.pairs.append(k)
-            self.cost.append(np.log2(c).astype(np.float64))
+            self.cost.append(np.log2(2.0 * c - 1))
             self.contexts.append(x)
-            self.total.append(np.log2(n + d))
-            self.escape.append(np.log2(n + d) - np.log2(d))
+            self.total.append(np.log2(2 * n))
+            self.escape.append(np.log2(2 * n) - np.log2(d))
             if j == 0:
                 self.left.append(np.zeros(len(x)))
                 self.chain.append(np.zeros(len(x)))
@@ -93,7 +94,7 @@ class Model:
                 below = np.searchsorted(levels[j - 1][0], k & ((1 << BITS * j) - 1))
                 shared = np.add.reduceat(levels[j - 1][1][below], first).astype(np.float64) if len(k) else np.zeros(0)
                 rest = low_d[suffix] - d
-                z = np.log2(np.maximum(low_n[suffix] - shared + rest, 1))
+                z = np.log2(np.maximum(2 * (low_n[suffix] - shared), 1))
                 self.left.append(z)
                 self.chain.append(self.chain[j - 1][suffix] + np.where(rest > 0, z - np.log2(np.maximum(rest, 1)), 0))
             low_n, low_d = n, d

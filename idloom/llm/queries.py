@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from idloom.llm import bpe, decontaminate, lang_id, pii, simhash, token_count, topk, toxicity, url_filter
+from idloom.llm import bpe, decontaminate, lang_id, lm_score, pii, simhash, token_count, topk, toxicity, url_filter
 
-MODULES = (lang_id, decontaminate, pii, token_count, url_filter, bpe, simhash, topk, toxicity)
+MODULES = (lang_id, decontaminate, lm_score, pii, token_count, url_filter, bpe, simhash, topk, toxicity)
 
 
 def queries() -> dict:
