@@ -198,31 +198,36 @@ def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 def train(texts: list[str], labels: list[int], seed: int = 1) -> Network | None:
     """None without texts of both labels."""
-    docs = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := words_of(t))]
+    number: dict[str, int] = {}
+    docs = []
+    for t, y in zip(texts, labels, strict=True):
+        if w := words_of(t):
+            docs.append((np.array([number.setdefault(x, len(number)) for x in w], np.int32), y))
     if len({y for _, y in docs}) < 2:
         return None
-    counts: dict[str, list[int]] = {}
-    for w, y in docs:
-        for x in set(w):
-            counts.setdefault(x, [0, 0])[y] += 1
-    net = Network(sorted((x for x, n in counts.items() if sum(n) >= LEAST), key=lambda x: (-sum(counts[x]), x))[:VOCABULARY], seed)
+    words = list(number)
+    with_word = np.zeros((len(words), 2), np.int64)
+    for ids, y in docs:
+        with_word[np.unique(ids), y] += 1
+    often = np.flatnonzero(with_word.sum(axis=1) >= LEAST).tolist()
+    often.sort(key=lambda i: (-with_word[i].sum(), words[i]))
+    often = often[:VOCABULARY]
+    net = Network([words[i] for i in often], seed)
     size = np.array([sum(1 - y for _, y in docs), sum(y for _, y in docs)], np.float64)
-    words = list(counts)
-    number = {x: i for i, x in enumerate(words)}
     own = np.array([net.vocabulary.get(x, 0) for x in words])
     grams, first = gram_rows(words)
     ends = np.concatenate((first[1:], [len(grams)]))
     # the first components start at how clearly the labels differ
-    net.p["word"][1:, 0] += clearness(np.array([counts[x] for x in net.vocabulary]).reshape(-1, 2), size)
+    net.p["word"][1:, 0] += clearness(with_word[often].reshape(-1, 2), size)
     with_gram = np.zeros((GRAMS, 2))
-    for w, y in docs:
-        with_gram[np.unique(np.concatenate([grams[first[i] : ends[i]] for i in {number[x] for x in w}])), y] += 1
+    for ids, y in docs:
+        with_gram[np.unique(np.concatenate([grams[first[i] : ends[i]] for i in np.unique(ids)])), y] += 1
     net.p["char"][:, 0] += 2 * clearness(with_gram, size)
     rows, doc = [], []
-    for i, (w, _) in enumerate(docs):
-        ids = [number[x] for x in w]
+    for i, (ids, _) in enumerate(docs):
         for a in window_starts(len(ids)):
-            rows.append(ids[a : a + WINDOW] + [-1] * (WINDOW - len(ids[a : a + WINDOW])))
+            w = ids[a : a + WINDOW]
+            rows.append(w if len(w) == WINDOW else np.concatenate((w, np.full(WINDOW - len(w), -1, np.int32))))
             doc.append(i)
     rows, doc = np.array(rows), np.array(doc)
     begin = np.searchsorted(doc, np.arange(len(docs) + 1))
