@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -74,6 +76,13 @@ def token() -> str:
     return uuid.uuid4().hex
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each has about limit bytes of the column; no text is cut."""
     for batch in batches:
@@ -95,5 +104,6 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, column):
             yield fn(piece)
+        give_back()
 
     return df.mapInArrow(run, schema)

@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idloom.llm import ppm
-from idloom.llm.common import in_fold, map_texts, pieces, small_batches, table, token, worker_state, written
+from idloom.llm.common import give_back, in_fold, map_texts, pieces, small_batches, table, token, worker_state, written
 
-ORDER = 6
+ORDER = 5
 #: Windows of one order in the tree, and words in the table, at most.
 NODES, HOT = 2_000_000, 200_000
 #: Words and windows that a counting task holds before it passes them on.
@@ -73,6 +73,8 @@ def counts(docs: DataFrame, text: str, order: int = ORDER) -> DataFrame:
                 yield from flush(words, grams)
                 words, grams, held = Counter(), [], 0
         yield from flush(words, grams)
+        words, grams = None, None
+        give_back()
 
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
@@ -90,15 +92,16 @@ def least_count(rows: DataFrame, most: int) -> int:
 def tree(grams: DataFrame, order: int = ORDER, nodes: int = NODES) -> ppm.Model:
     """The compiled tree of the windows gram, n."""
     levels, least = [], None
+    grams = grams.withColumn("k", F.col("n"))
     for j in range(order, -1, -1):
-        if j < order:
-            grams = written(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << ppm.BITS * (j + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")))
+        if j < order:  # n: occurrences, by which windows are kept; k: what the tree counts
+            grams = written(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << ppm.BITS * (j + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("k")))
         own = least_count(grams, nodes)
         # a window that a longer order keeps is kept here: it was seen at least as often
         least = own if least is None else min(own, least)
         got = grams.filter(F.col("n") >= least).toArrow()
         at = np.argsort(key := got["gram"].to_numpy(), kind="stable")
-        levels.append((key[at], got["n"].to_numpy()[at]))
+        levels.append((key[at], got["k"].to_numpy()[at]))
     return ppm.Model(levels[::-1])
 
 
@@ -145,7 +148,7 @@ def scored(docs: DataFrame, may_learn: Column, keep: list[str], text: str = "tex
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, scorer = worker_state(own, lambda: (shared.value[0], ppm.Scorer([shared.value[1]], order, slots=20)))
+        known, scorer = worker_state(own, lambda: (shared.value[0], ppm.Scorer([shared.value[1]], order, slots=21)))
         split = [words_of(t) for t in batch.column("__text").to_pylist()]
         bits = scorer.bits([b" ".join(w) for w in split])[:, 0]
         n, sums, hits, rare, at = [], [], [], [], [0]

@@ -4,7 +4,8 @@ A text is a sequence of byte symbols closed by an end symbol. A model holds, for
 to `order` symbols that was seen, the counts of the symbols that followed. The probability of a symbol
 is method D's: in the longest known context, (2c - 1) / 2n for a symbol seen c times there among n with
 d distinct ones, else the escape d / 2n and the next shorter context with the symbols of the longer
-one excluded; below the empty context all symbols left are equally likely. Counts are plain counts, so
+one excluded; below the empty context all symbols left are equally likely. The longest contexts count
+occurrences, shorter ones the distinct longer contexts in which a symbol followed (update exclusion, frozen). So
 the symbols of a context are among those of its suffix, which is why what an exclusion removes depends on
 one context only and can be tabled when the model is compiled.
 
@@ -60,10 +61,11 @@ def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
 
 
 def levels_of(keys: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Window counts of the orders 0 to `order`, from those of the last (sorted and distinct)."""
+    """Window counts of the orders 0 to `order`, from those of the last (sorted and distinct): a shorter window counts
+    the distinct ones that are longer by a symbol."""
     levels = [(keys, counts)]
     for j in range(order - 1, -1, -1):
-        keys, counts = merge_counts([(keys & ((1 << BITS * (j + 1)) - 1), counts)])
+        keys, counts = merge_counts([(keys & ((1 << BITS * (j + 1)) - 1), np.ones(len(keys), np.int64))])
         levels.append((keys, counts))
     return levels[::-1]
 

@@ -13,8 +13,10 @@ def brute(train, order, text):
     for t in train:
         s = [ppm.START] * order + list(t) + [ppm.END]
         for i in range(order, len(s)):
-            for j in range(order + 1):
-                tree.setdefault(tuple(s[i - j : i]), Counter())[s[i]] += 1
+            tree.setdefault(tuple(s[i - order : i]), Counter())[s[i]] += 1
+    for j in range(order, 0, -1):
+        for context, at in [x for x in tree.items() if len(x[0]) == j]:
+            tree.setdefault(context[1:], Counter()).update(set(at))
     s = [ppm.START] * order + list(text) + [ppm.END]
     bits = 0.0
     for i in range(order, len(s)):
@@ -64,7 +66,7 @@ def test_empty_model():
 
 def test_probabilities_of_a_pruned_tree_sum_to_one():
     levels = ppm.levels_of(*ppm.window_counts([b"abracadabra abracadabra", b"abcabdabe"], 3), 3)
-    pruned = [(k[c >= least], c[c >= least]) for (k, c), least in zip(levels, (1, 1, 2, 3), strict=True)]
+    pruned = [(k[c >= least], c[c >= least]) for (k, c), least in zip(levels, (0, 0, 0, 2), strict=True)]
     model = ppm.Model(pruned)
     for context in (b"abr", b"xab", b"cad"):
         base = 0
