@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; score and distinct seeds from which a pattern extracts.
 ROUNDS, SCORE, SEEDS = 3, 0.8, 8
 LONGEST = 64
+#: Discoveries that may be broadcast.
+FEW = 100_000
 _SPAN = "struct<start: int, kind: int, end: int>"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -151,8 +153,8 @@ def scored(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return found
 
 
-def spans(docs: DataFrame, keep: list[str], text: str = "text", score: float = SCORE, seeds: int = SEEDS) -> DataFrame:
-    """The columns to keep, base and spans (arrays of start, kind, end in order; kind numbers KINDS)."""
+def _found(docs: DataFrame, keep: list[str], text: str, score: float, seeds: int) -> DataFrame:
+    """k0, k1, ... (the columns to keep), base with values and patterns, new (null without a discovery)."""
     # ids are given once and written with the rows
     rows = written(scanned(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t")), [f"k{i}" for i in range(len(keep))], "t").withColumn("rid", F.monotonically_increasing_id()))
     every = rows.select(F.explode(F.concat("base", "seen")).alias("x")).select(F.explode("x.patterns").alias("p"), F.xxhash64("x.value").alias("i"), "x.kind")
@@ -160,8 +162,13 @@ def spans(docs: DataFrame, keep: list[str], text: str = "text", score: float = S
     met = rows.select("rid", F.explode("seen").alias("x")).select("rid", "x.start", "x.end", F.explode("x.patterns").alias("p")).join(good, "p")
     best = met.groupBy("rid", "start", "end").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
     new = best.groupBy("rid").agg(F.collect_list(F.struct("start", (-F.col("b.k")).alias("kind"), "end")).alias("new"))
+    return rows.join(new, "rid", "left")
+
+
+def spans(docs: DataFrame, keep: list[str], text: str = "text", score: float = SCORE, seeds: int = SEEDS) -> DataFrame:
+    """The columns to keep, base and spans (arrays of start, kind, end in order; kind numbers KINDS)."""
     plain = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    rows = rows.join(new, "rid", "left").withColumn("base", plain)
+    rows = _found(docs, keep, text, score, seeds).withColumn("base", plain)
     return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "base", F.array_sort(F.concat("base", F.coalesce("new", F.array().cast(f"array<{_SPAN}>")))).alias("spans"))
 
 
@@ -170,28 +177,37 @@ def shown(spans_: Column) -> Column:
     return F.array_join(F.transform(spans_, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def redacted(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", score: float = SCORE, seeds: int = SEEDS) -> DataFrame:
     """The documents with every span replaced by its kind in brackets. Overlapping spans are replaced as one, by
-    the kind of the first. A null text stays null."""
+    the kind of the first. A null text stays null.
+
+    Spans depend on a text alone, so discoveries are kept by two hashes of it, and texts are read twice but not
+    shuffled while there are at most FEW discoveries; beyond that, the join shuffles."""
     columns = [f"c{i}" for i in range(len(docs.columns))]  # whatever their own names are
     at = docs.columns.index(text)
     fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    found = spans(docs.toDF(*columns), columns, text=columns[at], **options)
+    own = docs.toDF(*columns).withColumn("h", F.struct(F.xxhash64(columns[at]).alias("a"), F.xxhash64(F.lit(1), columns[at]).alias("b")))
+    new = written(_found(own, ["h"], columns[at], score, seeds).filter("new is not null").select(F.col("k0").alias("h"), "new").dropDuplicates(["h"]))
+    small = new.count() <= FEW
+    joined = own.join(F.broadcast(new) if small else new, "h", "left").select(*columns, "new")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for t, own in zip(batch.column(at).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for t, more in zip(batch.column(at).to_pylist(), batch.column("new").to_pylist(), strict=True):
+            own = base_spans(t) if t else []
+            if more:
+                own = sorted([*own, *((s["start"], s["kind"], s["end"]) for s in more)])
             if own:
                 parts, end = [], 0
-                for s in own:
-                    if s["start"] >= end:
-                        parts += [t[end : s["start"]], f"[{KINDS[s['kind']]}]"]
-                    end = max(end, s["end"])
+                for s, k, e in own:
+                    if s >= end:
+                        parts += [t[end:s], f"[{KINDS[k]}]"]
+                    end = max(end, e)
                 t = "".join(parts) + t[end:]
             out.append(t)
         return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
 
-    return map_texts(found.select(*columns, "spans"), columns[at], run, fields).toDF(*docs.columns)
+    return map_texts(joined, columns[at], run, fields).toDF(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
