@@ -5,6 +5,7 @@ A null identifier gives null results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -17,6 +18,11 @@ SEGMENT = "struct<num: int, offset: int, segment: string, vendor: string, packag
 _SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in ids.SPACE) + "]"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often it is used; keeps nested expressions small."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{_SPACE}+", ""), f"{_SPACE}+\\z", "")
 
@@ -27,7 +33,7 @@ def utf16_length(text: Column) -> Column:
 
 def _number(text: Column) -> Column:
     value = F.when(text.rlike(rf"\A(?:{ids.NUMBER})\z") & (F.length(text) <= 16), text.try_cast("bigint"))
-    return F.when(value <= 1 << 53, value)
+    return let(value, lambda n: F.when(n <= 1 << 53, n))
 
 
 def _star_cause(text: Column) -> Column:
@@ -56,84 +62,93 @@ def _whole_cause(raw: Column) -> Column:
 def _parts(raw: Column) -> Column:
     """Parts with their number, offset and whether they are a UUID tail."""
     rest = F.substr(raw, F.lit(len(ids.PREFIX) + 1))
-    texts = F.filter(F.regexp_extract_all(rest, F.lit("[^~]*~|[^~]+"), F.lit(0)), lambda p: p != "~")
-    last = F.size(texts) - 1
+    found = F.filter(F.regexp_extract_all(rest, F.lit("[^~]*~|[^~]+"), F.lit(0)), lambda p: p != "~")
 
-    def part(p: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(texts, F.lit(1), i), F.lit(len(ids.PREFIX)), lambda n, q: n + F.length(q))
-        return F.struct((i + 1).alias("num"), before.alias("offset"), p.alias("part"), ((i > 0) & (i == last) & p.rlike(rf"\A{ids.UUID_TAIL}\z")).alias("tail"))
+    def numbered(texts: Column) -> Column:
+        def part(p: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(texts, F.lit(1), i), F.lit(len(ids.PREFIX)), lambda n, q: n + F.length(q))
+            tail = (i > 0) & (i == F.size(texts) - 1) & p.rlike(rf"\A{ids.UUID_TAIL}\z")
+            return F.struct((i + 1).alias("num"), before.alias("offset"), p.alias("part"), tail.alias("tail"))
 
-    return F.transform(texts, part)
+        return F.transform(texts, part)
 
+    return let(found, numbered)
 
-def _segment(p: Column) -> Column:
-    """The segment of a part."""
-    text = strip(p["part"])
-    is_type = text.endswith("~")
+
+def _split(text: Column) -> Column:
+    """A segment's text with its tokens, and how many they are before a star."""
     tokens = F.split(F.regexp_replace(text, r"~\z", ""), r"\.", -1)
-    star = F.get(tokens, F.size(tokens) - 1) == "*"
-    n = F.size(tokens) - star.cast("int")
-    name = lambda i: F.when(~p["tail"] & (n > i), F.get(tokens, F.lit(i))).otherwise("")
-    return F.struct(
-        p["num"].cast("int").alias("num"),
-        p["offset"].cast("int").alias("offset"),
-        text.alias("segment"),
-        *[name(i).alias(x) for i, x in enumerate(ids.NAMES)],
-        F.coalesce(F.when(~p["tail"] & (n > 4), _number(F.substr(F.get(tokens, F.lit(4)), F.lit(2)))), F.lit(0)).cast("bigint").alias("ver_major"),
-        F.when(~p["tail"] & (n > 5), _number(F.get(tokens, F.lit(5)))).alias("ver_minor"),
-        is_type.alias("is_type"),
-        (star & ~p["tail"]).alias("is_wildcard"),
-        p["tail"].alias("is_uuid_tail"),
-    )
+    return let(F.struct(text.alias("text"), tokens.alias("tokens")), lambda x: F.struct(x["text"].alias("text"), x["tokens"].alias("tokens"), (F.get(x["tokens"], F.size(x["tokens"]) - 1) == "*").alias("star")))
 
 
-def _segment_cause(p: Column) -> Column:
-    text = strip(p["part"])
-    tokens = F.split(F.regexp_replace(text, r"~\z", ""), r"\.", -1)
-    size = F.size(tokens)
-    star = F.get(tokens, size - 1) == "*"
-    bad = F.get(F.filter(F.slice(tokens, 1, 4), lambda t: ~t.rlike(rf"\A{ids.TOKEN}\z")), F.lit(0))
-    n = size - star.cast("int")
-    fifth = F.get(tokens, F.lit(4))
-    return (
-        F.when(text.isin("", "~"), ids.EMPTY_SEGMENT)
-        .when(F.exists(tokens, lambda t: t == ""), ids.EMPTY_TOKEN)
-        .when(size > 6, ids.TOO_MANY)
-        .when(~star & (size < 5), ids.TOO_FEW)
-        .when(~star & bad.isNotNull(), F.concat(F.lit(ids.BAD_TOKEN), bad))
-        .when((n > 4) & ~fifth.startswith("v"), ids.MAJOR_V)
-        .when((n > 4) & _number(F.substr(fifth, F.lit(2))).isNull(), ids.MAJOR_INT)
-        .when((n > 5) & _number(F.get(tokens, F.lit(5))).isNull(), ids.MINOR_INT)
-    )
+def _segment(p: Column) -> Column:
+    """The segment of a part."""
+
+    def of(x: Column) -> Column:
+        n = F.when(p["tail"], 0).otherwise(F.size(x["tokens"]) - x["star"].cast("int"))
+        name = lambda i: F.when(n > i, F.get(x["tokens"], F.lit(i))).otherwise("")
+        return F.struct(
+            p["num"].cast("int").alias("num"),
+            p["offset"].cast("int").alias("offset"),
+            x["text"].alias("segment"),
+            *[name(i).alias(field) for i, field in enumerate(ids.NAMES)],
+            F.coalesce(F.when(n > 4, _number(F.substr(F.get(x["tokens"], F.lit(4)), F.lit(2)))), F.lit(0)).cast("bigint").alias("ver_major"),
+            F.when(n > 5, _number(F.get(x["tokens"], F.lit(5)))).alias("ver_minor"),
+            x["text"].endswith("~").alias("is_type"),
+            (x["star"] & ~p["tail"]).alias("is_wildcard"),
+            p["tail"].alias("is_uuid_tail"),
+        )
+
+    return let(_split(strip(p["part"])), of)
+
+
+def _segment_cause(part: Column) -> Column:
+    def of(x: Column) -> Column:
+        tokens, star, size = x["tokens"], x["star"], F.size(x["tokens"])
+        bad = F.get(F.filter(F.slice(tokens, 1, 4), lambda t: ~t.rlike(rf"\A{ids.TOKEN}\z")), F.lit(0))
+        n = size - star.cast("int")
+        fifth = F.get(tokens, F.lit(4))
+        return (
+            F.when(x["text"].isin("", "~"), ids.EMPTY_SEGMENT)
+            .when(F.exists(tokens, lambda t: t == ""), ids.EMPTY_TOKEN)
+            .when(size > 6, ids.TOO_MANY)
+            .when(~star & (size < 5), ids.TOO_FEW)
+            .when(~star & bad.isNotNull(), F.concat(F.lit(ids.BAD_TOKEN), bad))
+            .when((n > 4) & ~fifth.startswith("v"), ids.MAJOR_V)
+            .when((n > 4) & _number(F.substr(fifth, F.lit(2))).isNull(), ids.MAJOR_INT)
+            .when((n > 5) & _number(F.get(tokens, F.lit(5))).isNull(), ids.MINOR_INT)
+        )
+
+    return let(_split(strip(part)), of)
 
 
 def _part_error(p: Column, shown: Column) -> Column:
-    cause = _segment_cause(p)
-    told = F.concat(F.lit(ids.SEGMENT_ERROR), p["num"], F.lit(" @ offset "), p["offset"], F.lit(": '"), p["part"], F.lit("': "), cause)
+    told = F.concat(F.lit(ids.SEGMENT_ERROR), p["num"], F.lit(" @ offset "), p["offset"], F.lit(": '"), p["part"], F.lit("': "), _segment_cause(p["part"]))
     return F.when(p["tail"], F.lit(None)).when(p["part"].contains("-"), F.concat(F.lit(ids.ID_ERROR), shown, F.lit(f": {ids.HYPHEN}"))).otherwise(told)
 
 
 def segments(text: Column) -> Column:
     """The segments of a text, right if its error is null."""
-    return F.transform(_parts(strip(text)), _segment)
+    return let(strip(text), lambda raw: F.transform(_parts(raw), _segment))
 
 
 def error(text: Column, pattern: bool = False) -> Column:
     """Why a text is no identifier (or pattern); null if it is one."""
-    starred = F.lit(True) if pattern else text.contains("*")
-    raw = strip(text)
-    shown = F.when(starred, raw).otherwise(text)
-    parts = _parts(raw)
-    whole = lambda cause, of: F.concat(F.lit(ids.ID_ERROR), of, F.lit(": "), cause)
-    first = F.get(F.filter(F.transform(parts, lambda p: _part_error(p, shown)), lambda e: e.isNotNull()), F.lit(0))
-    single = ~starred & (F.size(parts) == 1) & ~raw.endswith("~")
-    return F.coalesce(
-        F.when(starred, whole(_star_cause(raw), text)),
-        whole(_whole_cause(raw), shown),
-        first,
-        F.when(F.size(parts) == 0, whole(F.lit(ids.NO_SEGMENTS), shown)),
-        F.when(single, whole(F.lit(ids.SINGLE), shown)),
-    )
+
+    def of(x: Column) -> Column:
+        text, raw = x["text"], x["raw"]
+        starred = F.lit(True) if pattern else text.contains("*")
+        shown = F.when(starred, raw).otherwise(text)
+        whole = lambda cause, quoted: F.concat(F.lit(ids.ID_ERROR), quoted, F.lit(": "), cause)
+
+        def of_parts(parts: Column) -> Column:
+            first = F.get(F.filter(F.transform(parts, lambda p: _part_error(p, shown)), lambda e: e.isNotNull()), F.lit(0))
+            single = ~starred & (F.size(parts) == 1) & ~raw.endswith("~")
+            return F.coalesce(first, F.when(F.size(parts) == 0, whole(F.lit(ids.NO_SEGMENTS), shown)), F.when(single, whole(F.lit(ids.SINGLE), shown)))
+
+        return F.coalesce(F.when(starred, whole(_star_cause(raw), text)), whole(_whole_cause(raw), shown), let(_parts(raw), of_parts))
+
+    return let(F.struct(text.alias("text"), strip(text).alias("raw")), of)
 
 
 def is_valid(text: Column) -> Column:
@@ -141,13 +156,13 @@ def is_valid(text: Column) -> Column:
 
 
 def validation(text: Column) -> Column:
-    e = error(text)
-    return F.struct(text.alias("id"), e.isNull().alias("ok"), e.isNull().alias("valid"), F.coalesce(e, F.lit("")).alias("error"), text.contains("*").alias("is_wildcard"))
+    return let(error(text), lambda e: F.struct(text.alias("id"), e.isNull().alias("ok"), e.isNull().alias("valid"), F.coalesce(e, F.lit("")).alias("error"), text.contains("*").alias("is_wildcard")))
 
 
 def parsed(text: Column) -> Column:
-    e = error(text)
-    return F.struct(e.isNull().alias("ok"), F.when(e.isNull(), segments(text)).otherwise(F.array().cast(f"array<{SEGMENT}>")).alias("segments"), e.alias("error"), (text.endswith("~") & ~text.contains("*")).alias("is_schema"), text.contains("*").alias("is_wildcard"))
+    none = F.array().cast(f"array<{SEGMENT}>")
+    starred = text.contains("*")
+    return let(error(text), lambda e: F.struct(e.isNull().alias("ok"), F.when(e.isNull(), segments(text)).otherwise(none).alias("segments"), e.alias("error"), (text.endswith("~") & ~starred).alias("is_schema"), starred.alias("is_wildcard")))
 
 
 def is_type(text: Column) -> Column:
@@ -156,15 +171,17 @@ def is_type(text: Column) -> Column:
 
 def name_uuid(text: Column) -> Column:
     """Version 5 UUID of the text in the format's namespace."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(ids.NAMESPACE.hex)), F.encode(text, "UTF-8")))
+    return let(F.sha1(F.concat(F.unhex(F.lit(ids.NAMESPACE.hex)), F.encode(text, "UTF-8"))), _dashed)
+
+
+def _dashed(digest: Column) -> Column:
     variant = F.substring(F.lit("89ab89ab89ab89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") + 1, F.lit(1))
     cut = lambda a, n: F.substring(digest, a, n)
     return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-"), variant, cut(18, 3), F.lit("-"), cut(21, 12))
 
 
 def id_uuid(text: Column) -> Column:
-    e = error(text)
-    return F.struct(text.alias("id"), F.when(e.isNull(), name_uuid(text)).otherwise("").alias("uuid"), e.alias("error"))
+    return let(error(text), lambda e: F.struct(text.alias("id"), F.when(e.isNull(), name_uuid(text)).otherwise("").alias("uuid"), e.alias("error")))
 
 
 def segment_fits(p: Column, c: Column) -> Column:
@@ -185,5 +202,5 @@ def segments_match(pattern: Column, candidate: Column) -> Column:
 
 def matches(candidate: Column, pattern: Column) -> Column:
     """match and error, for columns of candidates and patterns."""
-    e = F.coalesce(error(candidate), error(pattern, True))
-    return F.struct(F.when(e.isNull(), segments_match(segments(pattern), segments(candidate))).otherwise(False).alias("match"), pattern.alias("pattern"), candidate.alias("candidate"), e.alias("error"))
+    both = let(F.struct(segments(pattern).alias("p"), segments(candidate).alias("c")), lambda x: segments_match(x["p"], x["c"]))
+    return let(F.coalesce(error(candidate), error(pattern, True)), lambda e: F.struct(F.when(e.isNull(), both).otherwise(False).alias("match"), pattern.alias("pattern"), candidate.alias("candidate"), e.alias("error")))
