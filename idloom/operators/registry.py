@@ -31,6 +31,14 @@ CASTS = {
 }
 
 
+#: Fields of the first segment that are columns of their own.
+FIRST = (*ids.NAMES, "ver_major", "ver_minor", "is_type", "segment")
+
+
+def _first(field: str) -> str:
+    return f"first_{field}"
+
+
 def load(text: str | None) -> object:
     """Parsed JSON, shared between rows; not to be changed. Later duplicates of a key win."""
     try:
@@ -68,7 +76,8 @@ def _needs(row: dict) -> Iterator[dict]:
 
 class Registry:
     def __init__(self, entities: DataFrame):
-        """entities: id, ord, content, schema_id, is_schema, segments (null if the id isn't valid)."""
+        """entities: id, ord, content, schema_id, is_schema, segments (null if the id isn't valid), and the first segment's
+        fields as columns of their own, on which scans of a saved registry are pruned."""
         self.entities = entities
 
     @property
@@ -81,10 +90,11 @@ class Registry:
         found = docs.select(F.col(seq).alias("seq"), F.col(content).alias("content"), extracted(F.col(content)).alias("x"))
         last = F.max_by(F.struct("content", "x.schema_id", "x.is_schema"), "seq").alias("last")
         kept = found.groupBy(F.col("x.id").alias("id")).agg(F.min("seq").alias("ord"), last).select("id", "ord", "last.content", "last.schema_id", "last.is_schema")
-        return cls(kept.withColumn("segments", F.when(columns.error(F.col("id")).isNull(), columns.segments(F.col("id")))))
+        parsed = kept.withColumn("segments", F.when(columns.error(F.col("id")).isNull(), columns.segments(F.col("id"))))
+        return cls(parsed.withColumns({_first(n): F.get("segments", F.lit(0))[n] for n in FIRST}))
 
     def save(self, path: str) -> None:
-        """Sorted by id, so that lookups skip files by their statistics."""
+        """Sorted by id, so that lookups and queries skip files and row groups by their statistics."""
         self.entities.sort("id").write.mode("overwrite").parquet(path)
 
     @classmethod
@@ -119,7 +129,7 @@ class Registry:
         """id, ord and content of matches, in registration order; none if the expression is in error (see parse_query).
         A limit that is no number is no limit."""
         parsed = parse_query(text)
-        found = self.entities.filter(F.lit(False) if parsed.error else condition(parsed, F.col("segments"), F.col("content")))
+        found = self.entities.filter(F.lit(False) if parsed.error else condition(parsed, F.col("segments"), F.col("content"), lambda n: F.col(_first(n))))
         ordered = found.select("id", "ord", "content").orderBy("ord")
         return ordered if limit is None or limit != limit else ordered.limit(max(0, int(limit)))
 
@@ -129,7 +139,7 @@ class Registry:
         return {"query": text, "count": len(items), "items": items, "limit": limit, "error": parse_query(text).error}
 
     def query_ids(self, pattern: str, limit: int | None = None) -> DataFrame:
-        found = self.entities.filter(pattern_condition(pattern, F.col("segments"))).select("id", "ord").orderBy("ord")
+        found = self.entities.filter(pattern_condition(pattern, F.col("segments"), lambda n: F.col(_first(n)))).select("id", "ord").orderBy("ord")
         return found if limit is None else found.limit(limit)
 
     def query_bool(self, condition_: Callable[[Callable[[str], Column]], Column]) -> DataFrame:

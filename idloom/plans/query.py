@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -60,29 +61,32 @@ def parse_query(text: str) -> Query:
     return query
 
 
-def pattern_condition(pattern: str, segments: Column) -> Column:
-    """Whether segments of valid ids match a pattern that is known now; false for a pattern that is none."""
+def pattern_condition(pattern: str, segments: Column, first: Callable[[str], Column] | None = None) -> Column:
+    """Whether segments of valid ids match a pattern that is known now; false for a pattern that is none.
+
+    first gives a function of a field's name: the first segment's fields as columns of their own, so that the conditions
+    on them reach the scan."""
     try:
         want = ids.parse(pattern, True)
     except ids.Invalid:
         return F.lit(False)
-    out = [F.size(segments) >= len(want)]
+    out = []
     for i, p in enumerate(want):
-        s = F.get(segments, F.lit(i))
+        field = first if first is not None and i == 0 else F.get(segments, F.lit(i)).__getitem__
         if p.is_uuid_tail:
-            out.append(s["segment"] == p.segment)
+            out.append(field("segment") == p.segment)
             continue
-        out += [s[n] == getattr(p, n) for n in ids.NAMES if getattr(p, n) or not p.is_wildcard]
+        out += [field(n) == getattr(p, n) for n in ids.NAMES if getattr(p, n) or not p.is_wildcard]
         if p.ver_major or not p.is_wildcard:
-            out.append(s["ver_major"] == p.ver_major)
+            out.append(field("ver_major") == p.ver_major)
         if p.ver_minor is not None:
-            out.append(s["ver_minor"].eqNullSafe(F.lit(p.ver_minor).cast("bigint")))
+            out.append(field("ver_minor") == F.lit(p.ver_minor).cast("bigint"))
         if not p.is_wildcard:
-            out.append(s["is_type"] == p.is_type)
-    return F.coalesce(reduce(lambda a, b: a & b, out), F.lit(False))
+            out.append(field("is_type") == p.is_type)
+    return reduce(lambda a, b: a & b, [*out, F.coalesce(F.size(segments) >= len(want), F.lit(False))])
 
 
-def condition(query: Query, segments: Column, content: Column) -> Column:
+def condition(query: Query, segments: Column, content: Column, first: Callable[[str], Column] | None = None) -> Column:
     """Ids first: they are cheap, and documents are parsed only for ids that match."""
-    found = pattern_condition(query.pattern, segments)
-    return F.when(found, filters_match(content, query.filters)).otherwise(False) if query.filters else found
+    found = pattern_condition(query.pattern, segments, first)
+    return found & F.when(found, filters_match(content, query.filters)).otherwise(False) if query.filters else found

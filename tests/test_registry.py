@@ -125,6 +125,15 @@ def test_query_and_attributes(spark):
     assert at["n"].value == "0" and at["no at"].error == "Invalid attribute path: missing @"
 
 
+def test_saved_registry_prunes_scans(spark, tmp_path, capsys):
+    docs = [{"gtsId": f"gts.{v}.b.c.d.v1~{v}.b.c.e.v1.{i}"} for i, v in enumerate("aab")] + [{"id": "plain"}]
+    registry(spark, docs).save(str(tmp_path / "r"))
+    saved = Registry.load(spark, str(tmp_path / "r"))
+    assert [x.ord for x in saved.query("gts.a.*", None).collect()] == [0, 1] and saved.query_ids("gts.*").count() == 3
+    saved.query("gts.a.*", None).explain()
+    assert "EqualTo(first_vendor,a)" in capsys.readouterr().out
+
+
 BASE = "gts.test.pkg.ns.base.v1~"
 CHILD = f"{BASE}test.pkg.ns.child.v1~"
 
