@@ -18,6 +18,12 @@ SEGMENT = "struct<num: int, offset: int, segment: string, vendor: string, packag
 _SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in ids.SPACE) + "]"
 
 
+_SMALL = "(?:0|[1-9][0-9]{0,14})"
+_PLAIN = rf"{ids.TOKEN}(?:\.{ids.TOKEN}){{3}}\.v{_SMALL}(?:\.{_SMALL})?"
+#: Most valid ids at one glance: those that it doesn't match are parsed to tell why, or because of large numbers or a star.
+_GLANCE = rf"\A{_SPACE}*gts\.~?(?:{_SPACE}*{_PLAIN}~)+(?:{_SPACE}*{_PLAIN}|{ids.UUID_TAIL})?{_SPACE}*\z"
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """`then` of a value that is computed once, however often it is used; keeps nested expressions small."""
     return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
@@ -148,7 +154,8 @@ def error(text: Column, pattern: bool = False) -> Column:
 
         return F.coalesce(F.when(starred, whole(_star_cause(raw), text)), whole(_whole_cause(raw), shown), let(_parts(raw), of_parts))
 
-    return let(F.struct(text.alias("text"), strip(text).alias("raw")), of)
+    parsed = let(F.struct(text.alias("text"), strip(text).alias("raw")), of)
+    return parsed if pattern else F.when((F.length(text) <= ids.MAX_LENGTH) & text.rlike(_GLANCE), F.lit(None)).otherwise(parsed)
 
 
 def is_valid(text: Column) -> Column:

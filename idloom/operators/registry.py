@@ -85,13 +85,14 @@ class Registry:
         return self.entities.sparkSession
 
     @classmethod
-    def of(cls, docs: DataFrame, content: str = "content", seq: str = "seq") -> Registry:
-        """Registers documents in the order of seq."""
+    def of(cls, docs: DataFrame, content: str = "content", seq: str = "seq", keep: bool = True) -> Registry:
+        """Registers documents in the order of seq. keep: writes the registry once; else every use extracts and parses anew."""
         found = docs.select(F.col(seq).alias("seq"), F.col(content).alias("content"), extracted(F.col(content)).alias("x"))
         last = F.max_by(F.struct("content", "x.schema_id", "x.is_schema"), "seq").alias("last")
         kept = found.groupBy(F.col("x.id").alias("id")).agg(F.min("seq").alias("ord"), last).select("id", "ord", "last.content", "last.schema_id", "last.is_schema")
         parsed = kept.withColumn("segments", F.when(columns.error(F.col("id")).isNull(), columns.segments(F.col("id"))))
-        return cls(parsed.withColumns({_first(n): F.get("segments", F.lit(0))[n] for n in FIRST}))
+        registry = cls(parsed.withColumns({_first(n): F.get("segments", F.lit(0))[n] for n in FIRST}))
+        return registry.kept() if keep else registry
 
     def save(self, path: str) -> None:
         """Sorted by id, so that lookups and queries skip files and row groups by their statistics."""

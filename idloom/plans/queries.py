@@ -14,7 +14,7 @@ from idloom.functions import columns
 from idloom.operators import identifiers as ids
 from idloom.operators.extraction import extracted
 from idloom.operators.registry import Registry, ingested, linted
-from idloom.operators.tables import written
+from idloom.plans.query import match_each, pattern_condition
 
 ORDER_TYPE = "gts.x.tpch.sales.order.v1~"
 META = "http://json-schema.org/draft-07/schema#"
@@ -113,8 +113,6 @@ PATTERNS = (ORDER_TYPE, f"{ORDER_TYPE}x.tpch.f.*", "gts.x.tpch.*", "gts.x.*", "g
 
 @query(f"SELECT o_orderkey, {ORDER_ID} AS id, o_orderstatus = 'F' AS match FROM orders")
 def match_wildcard(spark, sf_dir):
-    from idloom.plans.query import pattern_condition
-
     found = orders(spark, sf_dir, id=ORDER_ID)
     return found.select("o_orderkey", "id", pattern_condition(PATTERNS[1], columns.segments(F.col("id"))).alias("match"))
 
@@ -124,8 +122,19 @@ SELECT o_orderkey, p AS pattern, CASE p WHEN '{PATTERNS[1]}' THEN o_orderstatus
   CASE p WHEN 'gts.x.a*' THEN 'Invalid GTS identifier: gts.x.a*: ' || '{ids.STAR_BORDER.replace("'", "''")}' END AS error
 FROM orders, (SELECT unnest([{", ".join(f"'{p}'" for p in PATTERNS)}]) AS p)""")
 def match_patterns(spark, sf_dir):
-    found = orders(spark, sf_dir, id=ORDER_ID).select("o_orderkey", "id", F.explode(F.array(*map(F.lit, PATTERNS))).alias("pattern"))
-    return found.select("o_orderkey", "pattern", columns.matches(F.col("id"), F.col("pattern")).alias("m")).select("o_orderkey", "pattern", "m.match", "m.error")
+    found = orders(spark, sf_dir, id=ORDER_ID).select("o_orderkey", columns.segments(F.col("id")).alias("s"), columns.error(F.col("id")).alias("e"))
+    return found.select("o_orderkey", F.inline(match_each(list(PATTERNS), F.col("s"), F.col("e"))))
+
+
+_CODE = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PATTERNS))
+
+
+@query(f"""
+SELECT o_orderkey, p AS pattern, CASE p WHEN '{PATTERNS[1]}' THEN o_orderstatus = 'F' WHEN 'gts.y.*' THEN FALSE WHEN '{PATTERNS[6]}' THEN FALSE WHEN 'gts.x.a*' THEN FALSE ELSE TRUE END AS match
+FROM (SELECT *, CASE o_orderkey % 8 {_CODE} END AS p FROM orders)""")
+def match_columns(spark, sf_dir):
+    found = orders(spark, sf_dir, id=ORDER_ID, pattern=f"CASE o_orderkey % 8 {_CODE} END")
+    return found.select("o_orderkey", "pattern", columns.matches(F.col("id"), F.col("pattern"))["match"].alias("match"))
 
 
 # --- documents ---
@@ -388,8 +397,7 @@ def ingest(spark, sf_dir):
 
 def _graph(spark, sf_dir):
     """Trees of a few schemas; recursive, so without SQL."""
-    registry = Registry(written(_supplier_registry(spark, sf_dir).entities))
-    return registry.graph(_supplier_ids(spark, sf_dir))
+    return _supplier_registry(spark, sf_dir).graph(_supplier_ids(spark, sf_dir))
 
 
 QUERIES["reg_graph"] = _graph

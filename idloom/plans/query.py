@@ -86,6 +86,12 @@ def pattern_condition(pattern: str, segments: Column, first: Callable[[str], Col
     return reduce(lambda a, b: a & b, [*out, F.coalesce(F.size(segments) >= len(want), F.lit(False))])
 
 
+def match_each(patterns: list[str], segments: Column, error: Column) -> Column:
+    """An array of pattern, match and error: an id's segments and error against patterns that are known now."""
+    one = lambda p: F.struct(F.lit(p).alias("pattern"), F.when(error.isNull(), pattern_condition(p, segments)).otherwise(False).alias("match"), F.coalesce(error, F.lit(ids.error(p, True))).alias("error"))
+    return F.array(*map(one, patterns))
+
+
 def condition(query: Query, segments: Column, content: Column, first: Callable[[str], Column] | None = None) -> Column:
     """Ids first: they are cheap, and documents are parsed only for ids that match."""
     found = pattern_condition(query.pattern, segments, first)
