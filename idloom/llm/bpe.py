@@ -18,22 +18,32 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idloom.llm.common import map_texts, table, token, worker_state
 
 VOCABULARY = "word_bpe_49k.json"
+#: The word pattern that plain_pattern stands for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a worker keeps in each of two generations, and the longest of them.
 WORDS, LONGEST_WORD = 250_000, 32
 _HALF = 20  # bits of an id in a pair
-_PLAIN = regex.compile(r"[^\x00-˿‐-‧€]")
+_OTHER = re.compile("[^\x00-\u02ff\u2010-\u2027\u20ac]")
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+
+
+def plain_pattern() -> re.Pattern:
+    """The word pattern for texts in lower case of the characters that _OTHER leaves: their letters, numbers and white space."""
+    chars = [chr(i) for i in (*range(0x300), *range(0x2010, 0x2028), 0x20AC)]
+    kind = {k: "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == k) for k in "LN"}
+    return re.compile(f"{_CONTRACTIONS}|[{kind['L']}]+|[{kind['N']}]|[^\t-\r \x85\xa0{kind['L']}{kind['N']}]+")
 
 
 def default_path() -> str:
@@ -63,7 +73,9 @@ class Tokenizer:
             raise ValueError("the file asks for what this tokenizer doesn't do")
         library = Library.from_str(text)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        if spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PATTERN:
+            raise ValueError("the file splits words in a way that this tokenizer doesn't")
+        self.pattern = plain_pattern()
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in {**self.vocab, **self.special}.items()}
@@ -81,11 +93,12 @@ class Tokenizer:
             self.ranks[x << _HALF | y] = rank
         self.first_ranks = np.array([[self.ranks.get(int(x) << _HALF | int(y), -1) for y in self.first] for x in self.first], np.int64)
         self.name = [self.names.get(i, "") for i in range(max(self.names) + 1)]
-        self.table: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.ids_of: dict[str, bytes] = {}
+        self.text_of: dict[str, str] = {}
+        self.older: tuple[dict[str, bytes], dict[str, str]] = {}, {}
 
     def words(self, text: str) -> list[str]:
-        if _PLAIN.search(text):
+        if not text.isascii() and _OTHER.search(text):
             return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
         return self.pattern.findall(text.lower())  # no word holds white space, so its form doesn't matter
 
@@ -161,44 +174,36 @@ class Tokenizer:
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """For each text its ids, as native 32-bit integers, and what they decode to."""
-        if len(self.table) > WORDS:
-            self.table, self.older = {}, self.table
-        known, older = self.table, self.older
-        split: list[list[tuple[bool, list[str]]]] = []
+        if len(self.ids_of) > WORDS:
+            self.older, self.ids_of, self.text_of = (self.ids_of, self.text_of), {}, {}
+        ids_of, text_of, (old_ids, old_text) = self.ids_of, self.text_of, self.older
+        split: list[list[list[str]]] = []
         fresh: dict[str, bytes] = {}
         for t in texts:
             parts = []
             for part in (self.cut.split(t) if "<|" in t else (t,)) if t else ():
                 if part in self.special:
-                    parts.append((False, [part]))
+                    # a space before a key tells it from words, which hold none
+                    key = f" {part}"
+                    ids_of[key], text_of[key] = array("i", [self.special[part]]).tobytes(), part
+                    parts.append([key])
                 elif part:
-                    mapped = bool(_PLAIN.search(part))
-                    words = self.words(part)
-                    # a space, which no word holds, marks a key that is spelled in byte symbols
-                    words = [" " + w for w in words] if mapped else words
-                    parts.append((True, words))
-                    for w in words:
-                        if w in known or w in fresh:
-                            continue
-                        if w in older:
-                            known[w] = older[w]
-                        else:
-                            fresh[w] = self.raw(w[1:] if mapped else w, mapped)
+                    words, mapped = self.words(part), not part.isascii() and bool(_OTHER.search(part))
+                    words = [f"  {w}" for w in words] if mapped else words
+                    parts.append(words)
+                    for w in set(words).difference(ids_of):
+                        if w in old_ids:
+                            ids_of[w], text_of[w] = old_ids[w], old_text[w]
+                        elif w not in fresh:
+                            fresh[w] = self.raw(w[2:] if mapped else w, mapped)
             split.append(parts)
         name = self.name
-        known.update((w, (array("i", ids).tobytes(), " ".join([name[i] for i in ids]))) for w, ids in zip(fresh, self.merged(list(fresh.values())), strict=True))
-        out = []
-        for parts in split:
-            got = []
-            for plain, words in parts:
-                if plain:
-                    got += [known[w] for w in words]
-                else:
-                    got.append((array("i", [self.special[words[0]]]).tobytes(), words[0]))
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+        for w, ids in zip(fresh, self.merged(list(fresh.values())), strict=True):
+            ids_of[w], text_of[w] = array("i", ids).tobytes(), " ".join([name[i] for i in ids])
+        out = [(b"".join([b"".join(map(ids_of.__getitem__, w)) for w in parts]), " ".join([" ".join(map(text_of.__getitem__, w)) for w in parts if w])) for parts in split]
         for w in fresh:
             if len(w) > LONGEST_WORD:
-                del known[w]
+                del ids_of[w], text_of[w]
         return out
 
 
