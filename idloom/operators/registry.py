@@ -53,7 +53,7 @@ def lookup_key(text: Column) -> Column:
 
 
 def _entity(row: dict | None) -> Entity | None:
-    return Entity(row["id"], row["schema_id"], row["is_schema"], load(row["content"])) if row else None
+    return Entity(row["id"], row["schema_id"], row["is_schema"], load(row["content"]), row["content"]) if row else None
 
 
 def _finder(env: list[dict] | None) -> documents.Find:
