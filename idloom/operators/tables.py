@@ -21,6 +21,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of files on all cores: dealt out anew only if it has fewer partitions than there are cores, as with a few small files.
+    Large inputs have more and aren't shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def per_row(df: DataFrame, fn: Callable[[dict], Iterator[dict] | list[dict]], schema: str) -> DataFrame:
     """The rows that fn gives for each row."""
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))

@@ -14,6 +14,7 @@ from idloom.functions import columns
 from idloom.operators import identifiers as ids
 from idloom.operators.extraction import extracted
 from idloom.operators.registry import Registry, ingested, linted
+from idloom.operators.tables import spread
 from idloom.plans.query import match_each, pattern_condition
 
 ORDER_TYPE = "gts.x.tpch.sales.order.v1~"
@@ -32,12 +33,13 @@ DIRTY_ID = f"""CASE o_orderkey % 18
 ORDER_DOC = f"""'{{"gtsId":"' || {ORDER_ID} || '","status":"' || o_orderstatus || '","prio":"' || o_orderpriority || '","cust":' || {S('o_custkey')} || ',"nest":{{"a":[' || {S('o_orderkey')} || ',' || {S('o_orderkey + 1')} || ']}}}}'"""
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *names: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*names or "*"))
 
 
 def orders(spark: SparkSession, sf_dir: str, **made: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(e).alias(n) for n, e in made.items()])
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return rows.select("o_orderkey", *[F.expr(e).alias(n) for n, e in made.items()])
 
 
 def order_registry(spark: SparkSession, sf_dir: str, doc: str = ORDER_DOC) -> Registry:
@@ -200,7 +202,7 @@ SELECT {EVENT_ID} AS id, p AS path, p <> 'none' AS resolved, CASE p WHEN 'props.
 FROM events, (SELECT unnest(['props.k', 'tags[1]', 'none']) AS p)""")
 def attributes(spark, sf_dir):
     doc = f"""'{{"gtsId":"' || {EVENT_ID} || '","props":' || props || ',"tags":[0,' || {S('event_id')} || ']}}'"""
-    events = table(spark, sf_dir, "events").select("event_id", F.expr(EVENT_ID).alias("id"), F.expr(doc).alias("content"))
+    events = table(spark, sf_dir, "events", "event_id", "props").select("event_id", F.expr(EVENT_ID).alias("id"), F.expr(doc).alias("content"))
     wanted = events.select("id", F.explode(F.array(F.lit("props.k"), F.lit("tags[1]"), F.lit("none"))).alias("path"))
     return Registry.of(events, seq="event_id").attributes(wanted)
 
