@@ -35,7 +35,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that a worker keeps in each of two generations, and the longest of them.
 WORDS, LONGEST_WORD = 250_000, 32
 _HALF = 20  # bits of an id in a pair
-_OTHER = re.compile("[^\x00-\u02ff\u2010-\u2027\u20ac]")
+#: U+023A and U+023E are left out: their lower case lies above U+02FF.
+_OTHER = re.compile("[^\x00-\u0239\u023b-\u023d\u023f-\u02ff\u2010-\u2027\u20ac]")
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 

@@ -74,3 +74,11 @@ def test_nulls_repeats_and_empty_table(spark):
     got = bpe.encoded(spark.createDataFrame(rows, schema), ["doc_id"]).collect()
     assert sorted((r.doc_id or 0, len(r.ids), r.decoded) for r in got) == [(0, 0, ""), (1, 0, ""), (2, 1, "word</w>"), (2, 1, "word</w>")]
     assert bpe.encoded(spark.createDataFrame([], schema), ["doc_id"]).collect() == []
+
+
+def test_each_plain_character_against_library(own, library):
+    chars = [chr(i) for i in (*range(0x300), *range(0x2010, 0x2028), 0x20AC)]
+    every = [t for c in chars for t in (c, f"a{c}b", f"!{c}?", f"1{c}2", f"A{c}{c} {c}", f"'{c}s")]
+    want = library.encode_batch(every, add_special_tokens=False)
+    for t, (ids, _), w in zip(every, own.encode_batch(every), want, strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == w.ids, ascii(t)
