@@ -1,9 +1,11 @@
 """Language-model scores by prediction by partial matching, beside a word model's.
 
 The byte-context tree is learned from all documents that may be learned from: window counts are summed over the corpus, for each
-order, and compiled with escapes and symbol exclusion (module ppm). The size of the compiled tree is bounded: of an order's windows it
-keeps those seen at least as often as a power of two chosen from a histogram so that at most NODES remain; shorter orders count
-all. The text that is modelled is the sequence of lower-cased words with single spaces, closed by the end symbol.
+order, and compiled with escapes and symbol exclusion (module ppm). No window is left out. The tree is never in one place: windows of
+contexts of CUT symbols and more are dealt by the last CUT of them, so a shard has all that a code length depends on besides
+the shorter orders, whose number the alphabet bounds. The code lengths of the most frequent windows, at most NODES, are
+broadcast; those of all others that texts have are computed in the shards and joined. The text that is modelled is the
+sequence of lower-cased words with single spaces, closed by the end symbol.
 
 Word counts (the base) are summed over all documents as well. Words frequent enough to fit a table of HOT words are
 looked up where the texts are read; all others are joined, so no frequent word becomes a hot key and no table grows with the corpus.
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ from idloom.llm import ppm
 from idloom.llm.common import give_back, in_fold, map_texts, pieces, small_batches, table, token, worker_state, written
 
 ORDER = 5
-#: Windows of one order in the tree, and words in the table, at most.
+#: Windows and words in the tables that are broadcast, at most.
 NODES, HOT = 2_000_000, 200_000
+#: Symbols of a context that windows are dealt by, and windows that a shard should have.
+CUT, SHARD = 3, 200_000
 #: Words and windows that a counting task holds before it passes them on.
 HELD_WORDS, HELD_WINDOWS = 400_000, 3_000_000
 END = b""  # no word is empty
@@ -105,6 +109,77 @@ def tree(grams: DataFrame, order: int = ORDER, nodes: int = NODES) -> ppm.Model:
     return ppm.Model(levels[::-1])
 
 
+def levels(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """j, gram, k: all windows of the orders 0 to `order`, and what the tree counts."""
+    out = grams.select(F.lit(order).alias("j"), "gram", F.col("n").alias("k"))
+    for j in range(order - 1, -1, -1):
+        grams = written(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << ppm.BITS * (j + 1)) - 1)).alias("gram")).agg(F.count("*").alias("k")))
+        out = out.union(grams.select(F.lit(j).alias("j"), "gram", "k"))
+    return out
+
+
+def _sorted(t: pa.Table, j: int) -> tuple[np.ndarray, np.ndarray]:
+    own = t["j"].to_numpy() == j
+    key, k = t["gram"].to_numpy()[own], t["k"].to_numpy()[own]
+    at = np.argsort(key, kind="stable")
+    return key[at], k[at]
+
+
+def code_lengths(every: DataFrame, order: int, shard: int = SHARD) -> Callable[[DataFrame], DataFrame]:
+    """A function from distinct windows `gram` to gram, bits under the tree of all windows j, gram, k."""
+    cut = min(CUT, order + 1)
+    low = every.filter(F.col("j") < cut).toArrow()
+    shared = every.sparkSession.sparkContext.broadcast([_sorted(low, j) for j in range(cut)])
+    long = every.filter(F.col("j") >= cut)
+    shards = max(1, -(-long.count() // shard))
+
+    def search(t: pa.Table) -> pa.Table:
+        model = ppm.Model([*shared.value, *(_sorted(t, j) for j in range(cut, order + 1))])
+        asked, _ = _sorted(t, -1)
+        return pa.table({"gram": asked, "bits": model.bits(asked)})
+
+    def run(asked: DataFrame) -> DataFrame:
+        both = long.union(asked.select(F.lit(-1).alias("j"), "gram", F.lit(0).cast("long").alias("k")))
+        context = F.shiftright("gram", ppm.BITS).bitwiseAND(F.lit((1 << ppm.BITS * cut) - 1))
+        return both.withColumn("shard", F.pmod(F.xxhash64(context), F.lit(shards))).groupBy("shard").applyInArrow(search, "gram long, bits double")
+
+    return run
+
+
+class Frequent:
+    """Code lengths of the windows of a table, NaN for others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+
+    def bits(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[i] == keys, self.values[i], np.nan)
+
+
+def known_bits(scorer: ppm.Scorer, texts: list[bytes], block: int = 1 << 18) -> tuple[np.ndarray, pa.ListArray]:
+    """For each text the code length of its windows in the table, and its other windows."""
+    out, others, texts_of = np.zeros(len(texts)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    keys, starts, ends = ppm.windows(texts, scorer.order)
+    for at in range(0, len(keys), block):
+        own = np.ascontiguousarray(keys[at : at + block])
+        part = np.append(scorer.window_bits(own)[:, 0], 0.0)
+        i = np.flatnonzero(np.isnan(part))
+        part[i] = 0.0
+        t = np.searchsorted(starts, i + at, "right") - 1
+        inside = i + at < ends[t]
+        others.append(own[i[inside]])
+        texts_of.append(t[inside])
+        a, b = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + block, "left")
+        if a < b:
+            edges = np.stack((np.maximum(starts[a:b] - at, 0), np.minimum(ends[a:b] - at, len(part) - 1)), axis=1).ravel()
+            out[a:b] += np.add.reduceat(part, edges)[::2]
+    sizes = np.bincount(np.concatenate(texts_of), minlength=len(texts))
+    return out, pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(np.concatenate(others)))
+
+
 def adaptive(text: str | None, order: int = 3) -> float:
     """log10 of the probability of a text under a tree that starts empty and learns each symbol after coding it.
     Works on the text's own contexts only, so its memory follows that text."""
@@ -143,14 +218,18 @@ def scored(docs: DataFrame, may_learn: Column, keep: list[str], text: str = "tex
     least = least_count(words, hot)
     frequent = words.filter(F.col("n") >= least).toArrow()
     known = dict(zip(frequent["word"].to_pylist(), np.log10(frequent["n"].to_numpy() + SMALL).tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((known, tree(table_.filter("gram is not null").select("gram", "n"), order, nodes)))
+    grams = table_.filter("gram is not null").select("gram", "n")
+    lengths = code_lengths(levels(grams, order), order)
+    top = lengths(grams.filter(F.col("n") >= least_count(grams, nodes))).toArrow()
+    at = np.argsort(keys := top["gram"].to_numpy(), kind="stable")
+    shared = spark.sparkContext.broadcast((known, keys[at], top["bits"].to_numpy()[at]))
     own = token()
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, scorer = worker_state(own, lambda: (shared.value[0], ppm.Scorer([shared.value[1]], order, slots=21)))
+        known, scorer = worker_state(own, lambda: (shared.value[0], ppm.Scorer([Frequent(*shared.value[1:])], order, slots=21)))
         split = [words_of(t) for t in batch.column("__text").to_pylist()]
-        bits = scorer.bits([b" ".join(w) for w in split])[:, 0]
+        bits, windows = known_bits(scorer, [b" ".join(w) for w in split])
         n, sums, hits, rare, at = [], [], [], [], [0]
         for w in split:
             w.append(END)
@@ -162,20 +241,22 @@ def scored(docs: DataFrame, may_learn: Column, keep: list[str], text: str = "tex
             hits.append(len(found))
             sums.append(math.fsum(found))
         rest = pa.ListArray.from_arrays(np.array(at, np.int32), pa.array(rare, pa.binary()))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array(-bits * math.log10(2)), rest], names=[*keep, "n_tokens", "hits", "sums", "score", "rare"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array(bits), rest, windows], names=[*keep, "n_tokens", "hits", "sums", "own_bits", "rare", "windows"])
 
     # ids are given once and written with the rows
-    rows = written(map_texts(docs.select(*keep, F.col(text).alias("__text")), "__text", run, f"{fields}n_tokens long, hits long, sums double, score double, rare array<binary>").withColumn("rid", F.monotonically_increasing_id()))
+    rows = written(map_texts(docs.select(*keep, F.col(text).alias("__text")), "__text", run, f"{fields}n_tokens long, hits long, sums double, own_bits double, rare array<binary>, windows array<long>").withColumn("rid", F.monotonically_increasing_id()))
     others = rows.select("rid", F.explode("rare").alias("word")).join(words.filter(F.col("n") < least), "word", "left")
     rest = others.groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + SMALL)).alias("s"), F.count("n").alias("k"))
+    asked = rows.select("rid", F.explode("windows").alias("gram"))
+    more = asked.join(lengths(asked.select("gram").distinct()), "gram").groupBy("rid").agg(F.sum("bits").alias("more_bits"))
     floor = math.log10(whole["n"] + SMALL * (whole["v"] + 1))
-    return rows.join(rest, "rid", "left").select(
+    return rows.join(rest, "rid", "left").join(more, "rid", "left").select(
         *keep,
         "n_tokens",
         (F.col("hits") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(whole["n"]).cast("long").alias("train_tokens"),
         (F.col("sums") + F.coalesce("s", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),
-        "score",
+        (-(F.col("own_bits") + F.coalesce("more_bits", F.lit(0.0))) * math.log10(2)).alias("score"),
     )
 
 

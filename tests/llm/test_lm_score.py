@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -88,3 +89,14 @@ def test_documents(spark):
     same(got, base(rows))
     out = [r for r in got if r.held_out]
     assert all(r.held_out == held(r.doc_id) for r in got) and sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_scores_do_not_depend_on_the_size_of_the_table(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join("".join(r.choices("abcdE", k=r.randrange(1, 6))) for _ in range(r.randrange(30)))) for i in range(60)]
+    text = dict(rows)
+    train = [b" ".join(w.encode() for w in words(t)) for i, t in rows if not held(i)]
+    for nodes in (0, 40, 2_000_000):
+        for x in run(spark, rows, order=5, nodes=nodes):
+            want = -brute(train, 5, b" ".join(w.encode() for w in words(text[x.doc_id]))) * math.log10(2)
+            assert abs(x.score - want) < 1e-6, (nodes, x.doc_id)
