@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from idloom.llm import ppm
 from idloom.llm.common import give_back, in_fold, map_texts, pieces, small_batches, table, token, worker_state, written
 
-ORDER = 5
+ORDER = 6
 #: Windows and words in the tables that are broadcast, at most.
 NODES, HOT = 2_000_000, 200_000
 #: Symbols of a context that windows are dealt by, and windows that a shard should have.

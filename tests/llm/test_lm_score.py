@@ -100,3 +100,12 @@ def test_scores_do_not_depend_on_the_size_of_the_table(spark):
         for x in run(spark, rows, order=5, nodes=nodes):
             want = -brute(train, 5, b" ".join(w.encode() for w in words(text[x.doc_id]))) * math.log10(2)
             assert abs(x.score - want) < 1e-6, (nodes, x.doc_id)
+
+
+def test_contexts_of_six_bytes(spark):
+    rows = [(i, t) for i, t in enumerate(["1abcdex", "2abcdey", "1abcdex", "2abcdey", "3abcdez"] * 6)]
+    text = dict(rows)
+    train = [b" ".join(w.encode() for w in words(t)) for i, t in rows if not held(i)]
+    for x in run(spark, rows):
+        want = -brute(train, 6, text[x.doc_id].encode()) * math.log10(2)
+        assert abs(x.score - want) < 1e-6
