@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from idloom.operators.tables import written, written_all
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "give_back", "in_fold", "map_texts", "pieces", "small_batches", "table", "token", "worker_state", "written", "written_all"]
+
 #: Text bytes that one call of a batch function sees at most, unless one text alone is longer.
 BATCH_BYTES = 2 << 20
 #: Rows that Spark sends to Python at once.
@@ -36,30 +39,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a new one only where the session names none."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="idloom-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/idloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 _STATE: dict[str, object] = {}
 
 
