@@ -5,27 +5,32 @@ occurrence is unchanged. All pieces of a block of items are found by one automat
 lie, up to k characters, hits on neighbouring diagonals share one window, and Myers' bit-parallel distance decides.
 Before it, windows are dropped that keep too few of the item's q-grams for k edits (a necessary condition).
 
-Texts and items are compared lower-cased, with white space as single spaces. Items are read in blocks of bounded size, chosen by
-a hash; each block is one pass over the documents, so neither driver nor executors hold an unbounded benchmark.
+Texts and items are compared lower-cased, with white space as single spaces. Items are dealt to blocks of bounded size by
+a hash. Blocks are collected and broadcast one after the other, each for one pass over the documents, so neither driver nor
+executors hold an unbounded benchmark, and plans don't grow with it.
 
-Defined results: null, empty and blank items, and null, empty and blank texts, match nothing. Items of fewer than SHORT
-characters must occur exactly and between word borders. Texts and items are compared whole, at any length. Repeated documents
+Defined results: null, empty and blank items, and null, empty and blank texts, match nothing. Items that may have no edit
+(of fewer than 1 / rate characters) must occur between word borders. Texts and items are compared whole, at any length. Repeated documents
 match each on their own; repeated items give one match a row. A null id is kept. Of several occurrences the one with
 the smallest distance counts, of equal ones the first. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from idloom.llm.common import map_texts, table, token, worker_state
+from idloom.llm.common import map_texts, table, token, worker_state, written, written_all
 
-RATE, SHORT = 0.1, 40
+RATE = 0.1
 #: Characters of the items of one block.
 BLOCK = 512 << 10
 Q = 4
@@ -37,7 +42,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(chars: int, rate: float = RATE) -> int:
-    return 0 if chars < SHORT else int(rate * chars)
+    return int(rate * chars)
 
 
 @dataclass(slots=True)
@@ -129,49 +134,60 @@ class Matcher:
         return out
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item: str = "text", rate: float = RATE, block: int = BLOCK) -> list[DataFrame]:
-    """For each block of items: the columns to keep and matches (array of item_id, distance, chars)."""
-    spark = docs.sparkSession
+def blocks(benchmark: DataFrame, item_id: str = "item_id", item: str = "text", block: int = BLOCK) -> tuple[DataFrame, int]:
+    """i, t and b (the block) of the items, dealt by block; and how many blocks there are."""
     items = benchmark.filter(F.length(F.trim(item)) > 0).select(F.col(item_id).alias("i"), F.col(item).alias("t"))
-    blocks = max(1, -(-int(items.agg(F.sum(F.length("t"))).first()[0] or 0) // block))
-    kind = MATCH.format(items.schema["i"].dataType.simpleString())
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
-    out = []
-    for b in range(blocks):
-        own = [(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]
-        out.append(map_texts(docs.select(*keep, F.col(text).alias("__text")), "__text", _task(own, keep, kind, rate, spark), f"{fields}matches {kind}"))
-    return out
+    n = max(1, -(-int(items.agg(F.sum(F.length("t"))).first()[0] or 0) // block))
+    items = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int"))
+    return (written(items.repartition("b"), "b") if n > 1 else items), n
 
 
-def _task(items: list[tuple], keep: list[str], kind: str, rate: float, spark: SparkSession):
-    shared, own = spark.sparkContext.broadcast(items), token()
-    id_type = pa.string() if "item_id: string" in kind else pa.int32() if "item_id: int," in kind else pa.int64()
-    arrow = pa.list_(pa.struct([("item_id", id_type), ("distance", pa.int32()), ("chars", pa.int32())]))
+def matched(docs: DataFrame, items: DataFrame, b: int, keep: list[str], text: str = "text", rate: float = RATE) -> tuple[DataFrame, Broadcast]:
+    """The columns to keep and matches (array of item_id, distance, chars) with the items of a block."""
+    spark = docs.sparkSession
+    shared, own = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in items.filter(F.col("b") == b).select("i", "t").collect()]), token()
+    kind = MATCH.format(items.schema["i"].dataType.simpleString())
+    arrow = to_arrow_type(T.DataType.fromDDL(kind))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         matcher = worker_state(own, lambda: Matcher(shared.value, rate))
         got = [[{"item_id": i, "distance": d, "chars": n} for i, d, n in matcher.matches(t)] for t in batch.column("__text").to_pylist()]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, arrow)], names=[*keep, "matches"])
 
-    return run
+    return map_texts(docs.select(*keep, F.col(text).alias("__text")), "__text", run, f"{fields}matches {kind}"), shared
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], **options) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """The columns to keep, item_id, distance and chars: a row for each document and item that it holds."""
-    found = None
-    for part in matched(docs, benchmark, keep, **options):
-        rows = part.select(*keep, F.explode("matches").alias("m")).select(*keep, "m.item_id", "m.distance", "m.chars")
-        found = rows if found is None else found.unionAll(rows)
-    return found
+    items, n = blocks(benchmark, item_id, item, block)
+
+    def parts() -> Iterator[DataFrame]:
+        for b in range(n):
+            found, shared = matched(docs, items, b, keep, text, rate)
+            yield found.select(*keep, F.explode("matches").alias("m")).select(*keep, "m.item_id", "m.distance", "m.chars")
+            shared.unpersist()
+
+    return next(parts()) if n == 1 else written_all(parts())
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """The documents that hold no item, with their columns."""
     names, columns = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # whatever their own names are
     own, docs = columns[names.index(text)], docs.toDF(*columns)
-    for b in range(len(matched(docs.limit(0), benchmark, columns, text=own, **options))):
-        docs = matched(docs, benchmark, columns, text=own, **options)[b].filter(F.size("matches") == 0).drop("matches")
-    return docs.toDF(*names)
+    items, n = blocks(benchmark, item_id, item, block)
+    if n == 1:
+        found, _ = matched(docs, items, 0, columns, own, rate)
+        return found.filter(F.size("matches") == 0).drop("matches").toDF(*names)
+    docs = written(docs.withColumn("rid", F.monotonically_increasing_id()))  # ids are given once and written with the rows
+
+    def parts() -> Iterator[DataFrame]:
+        for b in range(n):
+            found, shared = matched(docs, items, b, ["rid"], own, rate)
+            yield found.filter(F.size("matches") > 0).select("rid")
+            shared.unpersist()
+
+    return docs.join(written_all(parts()), "rid", "left_anti").select(*columns).toDF(*names)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
