@@ -7,9 +7,10 @@ hardly anything can be pruned, its candidates are cut by their own lengths; else
 largest coordinates the partial product plus the product of the two remainders' lengths bounds the score. What remains is
 verified by exact integer products.
 
-Queries are read in blocks of bounded size; each block is matched against all candidates, where they lie, and every
-task returns the k best of its candidates at most. A first bucket, the longest candidates, gives a block's queries a
-threshold that all tasks start from. Only a block of queries and that bucket are broadcast; both have fixed bounds.
+Queries are dealt to blocks of bounded size. Blocks are collected and broadcast one after the other; each is matched against all
+candidates, where they lie, and every task returns the k best of its candidates at most. A first bucket, the longest candidates,
+gives a block's queries a threshold that all tasks start from. So the driver holds one block and that bucket, both of fixed bounds,
+and plans don't grow with the number of queries.
 
 Defined results: components x become floor(64 * x). Vectors that are null, or hold a null or non-finite component, and
 rows with a null id take no part. Vectors of different lengths are compared as if filled up with zeros; an empty vector is
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from idloom.llm.common import table, written
+from idloom.llm.common import table, written, written_all
 
 K, SCALE = 20, 64
 #: Queries of a block, candidates of the first bucket, candidates of a bucket in a task.
@@ -138,24 +140,27 @@ def top_k(rows: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     kept = kept.withColumn("length", length)
     first = kept.orderBy(F.desc("length"), "id").limit(FIRST).select("id", "v").toArrow()
-    asked = written(kept.filter("q").select("id", "v"))
-    blocks = max(1, -(-asked.count() // block))
-    parts = []
-    for b in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)) == b).toArrow()
-        if own.num_rows:
-            parts.append(_block(kept, own, first, k))
-    if not parts:
+    asked = kept.filter("q").select("id", "v")
+    blocks = -(-asked.count() // block)
+    if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    # a row of the result for each query row: copies of a query have a number of their own
-    best = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = written(asked.withColumn("b", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).repartition("b"), "b")
 
+    def parts() -> Iterator[DataFrame]:
+        for b in range(blocks):
+            own = asked.filter(F.col("b") == b).select("id", "v").toArrow()
+            if own.num_rows:
+                found, shared = _block(kept, own, first, k)
+                # a row of the result for each query row: copies of a query have a number of their own, and a block has all of them
+                best = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
+                yield found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                shared.unpersist()
 
-def _block(kept: DataFrame, own: pa.Table, first: pa.Table, k: int) -> DataFrame:
+    return next(parts()) if blocks == 1 else written_all(parts())
+
+
+def _block(kept: DataFrame, own: pa.Table, first: pa.Table, k: int) -> tuple[DataFrame, Broadcast]:
+    """The k best of each task's candidates for the queries of a block."""
     q_ids = own["id"].to_numpy()
     width = max([1, *own["v"].combine_chunks().value_lengths().to_pylist()])
     queries = matrix(own["v"], width)
@@ -189,7 +194,7 @@ def _block(kept: DataFrame, own: pa.Table, first: pa.Table, k: int) -> DataFrame
         at = np.repeat(np.arange(len(q_ids)), sizes)
         yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(copy[at].astype(np.int32)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=["query_id", "copy", "vec_id", "score"])
 
-    return kept.select("id", "v").mapInArrow(run, "query_id long, copy int, vec_id long, score long")
+    return kept.select("id", "v").mapInArrow(run, "query_id long, copy int, vec_id long, score long"), shared
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def run(spark, rows, k=20, step=20, block=4096):
 def test_against_brute_force(spark, spread):
     r = random.Random(8)
     rows = [(i, [r.gauss(0, 1) * s for _ in range(24)]) for i in range(700) for s in [math.exp(r.gauss(0, spread))]]
-    assert run(spark, rows, block=10) == brute(rows)
+    assert run(spark, rows, block=10) == run(spark, rows) == brute(rows)
 
 
 def test_pruned_buckets(monkeypatch):
