@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from idloom.llm import ppm
 from idloom.llm.common import in_fold, map_texts, pieces, small_batches, table, token, worker_state
 
-ORDER = 3
+ORDER = 4
 #: Learned documents of each language, on average.
 SAMPLE = 400
 UNDETERMINED = "und"
