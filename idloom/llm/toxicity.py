@@ -8,7 +8,7 @@ highest one, in training as in use (the text's label counts for its highest wind
 Learning uses a bounded sample: about `sample` labelled documents by label, chosen by a hash of the id, with whole texts.
 
 Defined results: null and empty texts and texts without letters have score 0. Without learned rows of both labels every score is
-0. Null labels aren't learned from; a null id belongs to no fold and has no label. Rows repeat as in the input; further columns
+0. Null labels aren't learned from; of rows that share an id the first text in order is; a null id belongs to no fold and has no label. Rows repeat as in the input; further columns
 are ignored. Equal windows score the same, so ties don't matter.
 """
 
@@ -334,7 +334,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, doc_id: str = "
     limit = F.when(F.col("y") == 1, int(share[1] * _RANGE)).otherwise(int(share[0] * _RANGE))
     chosen = marked.filter(F.pmod(F.xxhash64(F.lit(_SEED), F.col("i").cast("string")), F.lit(_RANGE)) < limit)
     # the chosen labels are a bounded sample, so they go to where the texts are
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i").dropDuplicates(["i", "y"]).toArrow().to_pylist()
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["i"], r["y"]))
     return train([r["t"] for r in rows], [r["y"] for r in rows])
 
