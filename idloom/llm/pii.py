@@ -1,10 +1,12 @@
 """Personal data: fixed forms as seeds, and bootstrapped contextual extraction of what else stands where they stand.
 
-One pass finds the base spans and all other identifier-like tokens, each with its lexical patterns: the one and the two
-words before it. Patterns and instances (values) form a graph. Spark scores it in rounds: a pattern's score for a kind is
-the mean of its instances' scores, smoothed; an instance that is no seed takes the mean of its patterns' scores; seeds keep 1.
-Patterns with enough seeds of one kind and a high score then mark the unseen identifiers that follow them. Scores are taken over
-the whole corpus, in joins and aggregations by pattern and by value; nothing of it is collected.
+One pass finds the base spans and all other identifier-like tokens (at least five characters without the punctuation around them, with an at
+sign or three digits), each with its lexical patterns: the word before it, the two before it, the word after it, and those
+on both sides. Patterns and instances (values) form a graph. Spark scores it in rounds: a pattern's score for a kind is
+the mean of its instances' scores, smoothed; an instance that is no seed takes the mean of its patterns' scores; seeds keep 1, for
+each kind that they have. Patterns with enough seeds of one kind and a high score then mark the unseen identifiers in the same
+place. Scores are taken over the whole corpus, in joins and aggregations by pattern and by value; nothing of it is collected, and
+joins by pattern are salted, as one word may stand before a third of all identifiers.
 
 Defined results: null and empty texts have no spans. Texts are searched whole; offsets are code points, ends exclusive.
 Base spans of a kind don't overlap each other; discovered spans overlap no base span, and of several kinds the
@@ -18,6 +20,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +29,10 @@ from idloom.llm.common import map_texts, table, written
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; score and distinct seeds from which a pattern extracts.
 ROUNDS, SCORE, SEEDS = 3, 0.8, 8
-LONGEST = 64
+#: Characters of a context word that a pattern shows; longer words go by their hash.
+WORD = 64
+#: Parts that the identifiers of a pattern are dealt to.
+SALTS = 16
 #: Discoveries that may be broadcast.
 FEW = 100_000
 _SPAN = "struct<start: int, kind: int, end: int>"
@@ -81,26 +87,55 @@ def _part(digits: str) -> bool:
     return len(digits) <= 3 and int(digits or "0") <= 255
 
 
-def patterns(text: str, at: int) -> list[str]:
-    words = text[max(0, at - 2 * LONGEST) : at].lower().split()[-2:]
-    return [words[-1], " ".join(words)] if len(words) > 1 else words or ["^"]
+def _shown(word: str) -> str:
+    return word if len(word) <= WORD else "#" + xxhash.xxh3_64_hexdigest(word.encode())
+
+
+def before(text: str, at: int, n: int) -> list[str]:
+    """The last n words before a place, whole whatever their length."""
+    size = 64
+    while True:
+        words = text[max(0, at - size) : at].split()
+        if size >= at or len(words) > n:  # the first of more may be cut
+            return words[-n:]
+        size *= 4
+
+
+def after(text: str, at: int) -> list[str]:
+    size = 64
+    while True:
+        words = text[at : at + size].split()
+        if at + size >= len(text) or len(words) > 1:
+            return words[:1]
+        size *= 4
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The contexts of an identifier: `_` is its place; the word's own edges (punctuation) count as part of its neighbours."""
+    left = [_shown(w.lower()) for w in before(text, start, 2)] or ["^"]
+    right = [_shown(w.lower()) for w in after(text, end)] or ["$"]
+    return [f"{left[-1]} _", *([f"{' '.join(left)} _"] if len(left) > 1 else []), f"_ {right[0]}", f"{left[-1]} _ {right[0]}"]
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """Other identifier-like tokens: with a digit or an at sign, of 5 to LONGEST characters, three of them digits unless
-    there is an at sign."""
-    out, after = [], 0
+    """Other identifier-like tokens, of any length."""
+    out, done = [], 0
     starts = [s for s, _, _ in base]
     reach = np.maximum.accumulate([e for _, _, e in base]).tolist() if base else []
     for m in _MARK.finditer(text):
-        if m.start() < after:
+        if m.start() < done:
             continue
-        low = max(after, m.start() - LONGEST - 1)
-        gaps = [g.end() for g in _SPACES.finditer(text, low, m.start())]
-        start, after = gaps[-1] if gaps else low, m.end()
+        start, size = m.start(), 64
+        while start > done:  # back to the white space before it
+            low = max(done, m.start() - size)
+            gaps = [g.end() for g in _SPACES.finditer(text, low, m.start())]
+            start, size = (gaps[-1], size) if gaps else (low, size * 4)
+            if gaps:
+                break
+        done = m.end()
         token = text[start : m.end()]
         value = token.strip(_EDGES)
-        if not 5 <= len(value) <= LONGEST or "@" not in value and sum(c in "0123456789" for c in value) < 3:
+        if len(value) < 5 or "@" not in value and len(_DIGIT.findall(value)) < 3:
             continue
         start += len(token) - len(token.lstrip(_EDGES))
         end = start + len(value)
@@ -118,8 +153,12 @@ def _lists(rows: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> pa
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names=[n for n, _ in fields]))
 
 
+def _key(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(value.encode()) - (1 << 63)
+
+
 def scanned(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns to keep, base (spans) with their patterns and values, seen (other identifiers)."""
+    """The columns to keep, base (spans) with their patterns and values (hashed), seen (other identifiers)."""
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -127,28 +166,33 @@ def scanned(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         for t in batch.column("__text").to_pylist():
             t = t or ""
             own = base_spans(t)
-            base.append([(s, k, e, t[s:e], patterns(t, s)) for s, k, e in own])
-            seen.append([(s, -1, e, v, patterns(t, s)) for s, e, v in candidates(t, own)])
-        kind = [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]
+            base.append([(s, k, e, _key(t[s:e]), patterns(t, s, e)) for s, k, e in own])
+            seen.append([(s, -1, e, _key(v), patterns(t, s, e)) for s, e, v in candidates(t, own)])
+        kind = [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("patterns", pa.list_(pa.string()))]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), _lists(base, kind), _lists(seen, kind)], names=[*keep, "base", "seen"])
 
-    row = "array<struct<start: int, kind: int, end: int, value: string, patterns: array<string>>>"
+    row = "array<struct<start: int, kind: int, end: int, value: bigint, patterns: array<string>>>"
     return map_texts(docs.select(*keep, F.col(text).alias("__text")), "__text", run, f"{fields}base {row}, seen {row}")
 
 
+def _salted(found: DataFrame) -> DataFrame:
+    return found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def scored(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """p, kind, score, seeds of the patterns of edges (p, i, kind; kind below zero: no seed)."""
-    edges = written(edges.groupBy("p", "i").agg(F.max("kind").alias("kind")))
-    seeds = edges.filter("kind >= 0").groupBy("i").agg(F.max("kind").alias("kind")).select("i", "kind", F.lit(1.0).alias("s"))
-    of_pattern = edges.groupBy("p").agg(F.count("*").alias("n"))
-    others = written(edges.select("p", "i").join(seeds.select("i"), "i", "left_anti"))
+    edges = written(edges.distinct())
+    seeds = edges.filter("kind >= 0").select("i", "kind").distinct().withColumn("s", F.lit(1.0))
+    plain = edges.select("p", "i").distinct()
+    of_pattern = plain.groupBy("p").agg(F.count("*").alias("n"))
+    others = written(plain.join(seeds.select("i").distinct(), "i", "left_anti").withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int")))
     of_other = others.groupBy("i").agg(F.count("*").alias("n"))
     known = seeds
     for left in range(rounds, 0, -1):
-        sums = edges.select("p", "i").join(known, "i").groupBy("p", "kind").agg(F.sum("s").alias("s"), F.count_if(F.col("s") == 1.0).alias("seeds"))
+        sums = plain.join(known, "i").groupBy("p", "kind").agg(F.sum("s").alias("s"), F.count_if(F.col("s") == 1.0).alias("seeds"))
         found = written(sums.join(of_pattern, "p").select("p", "kind", (F.col("s") / (F.col("n") + 2)).alias("score"), "seeds"))
         if left > 1:
-            guess = others.join(found, "p").groupBy("i", "kind").agg(F.sum("score").alias("s")).join(of_other, "i")
+            guess = others.join(_salted(found), ["p", "salt"]).groupBy("i", "kind").agg(F.sum("score").alias("s")).join(of_other, "i")
             known = seeds.union(guess.select("i", "kind", F.least(F.col("s") / F.col("n"), F.lit(0.99))))
     return found
 
@@ -157,9 +201,10 @@ def _found(docs: DataFrame, keep: list[str], text: str, score: float, seeds: int
     """k0, k1, ... (the columns to keep), base with values and patterns, new (null without a discovery)."""
     # ids are given once and written with the rows
     rows = written(scanned(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t")), [f"k{i}" for i in range(len(keep))], "t").withColumn("rid", F.monotonically_increasing_id()))
-    every = rows.select(F.explode(F.concat("base", "seen")).alias("x")).select(F.explode("x.patterns").alias("p"), F.xxhash64("x.value").alias("i"), "x.kind")
+    every = rows.select(F.explode(F.concat("base", "seen")).alias("x")).select(F.explode("x.patterns").alias("p"), F.col("x.value").alias("i"), "x.kind")
     good = scored(every).filter((F.col("score") >= score) & (F.col("seeds") >= seeds)).select("p", "score", F.col("kind").alias("k"))
-    met = rows.select("rid", F.explode("seen").alias("x")).select("rid", "x.start", "x.end", F.explode("x.patterns").alias("p")).join(good, "p")
+    met = rows.select("rid", F.explode("seen").alias("x")).select("rid", "x.start", "x.end", F.explode("x.patterns").alias("p"))
+    met = met.withColumn("salt", F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS)).cast("int")).join(_salted(good), ["p", "salt"])
     best = met.groupBy("rid", "start", "end").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
     new = best.groupBy("rid").agg(F.collect_list(F.struct("start", (-F.col("b.k")).alias("kind"), "end")).alias("new"))
     return rows.join(new, "rid", "left")
