@@ -10,9 +10,11 @@ kept within a bound, and are pure functions of the vocabulary.
 
 Pieces hold word marks only at their start, and characters without a piece become bytes, so at a mark after
 another character, and after such a character, the transducer is back in its first state. A text is cut
-into chunks at any place; a chunk's state map is what it does from any state up to its first reset and
-the count and state that it always reaches after it. Such maps compose associatively, and a text's
-count is their reduction as in a parallel prefix scan. Words are kept in a table with the maps they stand for.
+into chunks at any place. A chunk's state map gives count and state for every state that it is entered in: it holds those for the
+first state, and for others runs both side by side until they meet, which they do at a reset at the latest and
+otherwise soon, as encodings fall into step; from there on the counts are the same. Maps compose associatively, and a text's
+count is their reduction as in a parallel prefix scan: chunks of a piece in one task, pieces of long texts (LONG characters)
+across tasks. Words are kept in a table with the maps they stand for.
 
 Defined results: null and empty texts have no tokens. Any Unicode text, long words and long texts are
 counted whole. Rows repeat as in the input; null ids are kept; further columns are ignored.
@@ -26,16 +28,20 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from idloom.llm.common import map_texts, table, token, worker_state
+from idloom.llm.common import map_texts, table, token, worker_state, written
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁"
 #: States that a worker keeps before it starts anew, words in each of two generations, and the longest of them.
 STATES, WORDS, LONGEST_WORD = 400_000, 250_000, 24
-#: Characters of a chunk.
-CHUNK = 1 << 16
+#: Pairs of tokens whose border a worker keeps.
+BORDERS = 400_000
+#: Characters of a chunk, and of a piece that one task maps.
+CHUNK, LONG = 1 << 16, 1 << 20
 
 
 def default_path() -> str:
@@ -54,11 +60,25 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
 
 @dataclass(slots=True)
 class ChunkMap:
-    """head: the characters before the first reset; then always count and state (None: no reset)."""
+    """count and state if entered in the first state. head: the characters before the first reset, or all; parts: the maps it is composed of."""
 
-    head: str
-    count: int = 0
-    state: int | None = None
+    count: int
+    state: int
+    head: str = ""
+    reset: bool = False
+    parts: tuple[ChunkMap, ChunkMap] | None = None
+
+
+def first_reset(m: ChunkMap) -> tuple[str, bool]:
+    """The characters of a map's text before its first reset, and whether there is one."""
+    heads = []
+    while m.parts:
+        head, reset = first_reset(m.parts[0])
+        heads.append(head)
+        if reset:
+            return "".join(heads), True
+        m = m.parts[1]
+    return "".join([*heads, m.head]), m.reset
 
 
 class Transducer:
@@ -84,12 +104,12 @@ class Transducer:
             raise ValueError(f"characters without a piece of their own: {lone[:5]}")
         barrier = "" if "\n" in self.chars else "\n"
         self.words = re.compile(f"{MARK}*[^{MARK}{barrier}]+|{MARK}+" + f"|{barrier}+" * bool(barrier))
-        self.borders: dict[tuple[int, int], bool] = {}
         self.table: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self._restart()
 
     def _restart(self) -> None:
+        self.borders: dict[tuple[int, int], bool] = {}
         self.sets: list[tuple] = [((0, -1, 0),)]
         self.ids: dict[tuple, int] = {self.sets[0]: 0}
         self.next: list[dict[str, tuple[int, int]]] = [{}]
@@ -107,6 +127,8 @@ class Transducer:
     def border(self, a: int, b: int) -> bool:
         """Whether two tokens stay apart."""
         if (a, b) not in self.borders:
+            if len(self.borders) >= BORDERS:
+                self.borders.clear()
             self.borders[a, b] = self.merged(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
         return self.borders[a, b]
 
@@ -122,15 +144,18 @@ class Transducer:
                     if (t := self.ends[to]) >= 0 and (before < 0 or self.border(before, t)):
                         found.append((count + 1, t))
             (delta, last), = found
-            entries = (*((n, b, c - delta) for n, b, c in grown if self.children[n]), (0, last, 0))
-            if (to := self.ids.get(entries)) is None:
-                to = self.ids[entries] = len(self.sets)
-                self.sets.append(entries)
-                self.next.append({})
-            out = (to, delta)
+            out = (self.state_of((*((n, b, c - delta) for n, b, c in grown if self.children[n]), (0, last, 0))), delta)
         self.next[state][char] = out
         return out
 
+    def state_of(self, entries: tuple) -> int:
+        """The number of a state in this worker; entries mean the same in all."""
+        if (to := self.ids.get(entries)) is None:
+            to = self.ids[entries] = len(self.sets)
+            self.sets.append(entries)
+            self.next.append({})
+        return to
+
     def run(self, state: int, text: str) -> tuple[int, int]:
         count, steps = 0, self.next
         for c in text:
@@ -155,49 +180,103 @@ class Transducer:
         """Of marked text. A word of the text starts at a reset if the character before it is no mark."""
         first = re.search(f"(?<=[^{MARK}]){MARK}", text)
         if not first:
-            return ChunkMap(text)
-        rest = self.words.findall(text, first.start())
+            state, n = self.run(0, text)
+            return ChunkMap(n, state, text)
+        head, rest = text[: first.start()], self.words.findall(text, first.start())
         tail = rest.pop()
         known = self.table
         counts = [known.get(w) for w in rest]
         total = sum(self.word(w) if n is None else n for w, n in zip(rest, counts, strict=True)) if None in counts else sum(counts)
         state, n = self.run(0, tail)
-        return ChunkMap(text[: first.start()], total + n, state)
+        return ChunkMap(self.run(0, head)[1] + total + n, state, head, True)
+
+    def enter(self, m: ChunkMap, state: int) -> tuple[int, int]:
+        """Count and state after the map's text, from any state before it."""
+        if state == 0:
+            return m.count, m.state
+        if m.parts:
+            a, b = m.parts
+            n, s = self.enter(a, state)
+            if s == a.state:
+                return m.count - a.count + n, m.state
+            k, s = self.enter(b, s)
+            return n + k, s
+        steps, first, more = self.next, 0, 0
+        for c in m.head:
+            x, y = steps[first].get(c) or self.compile(first, c), steps[state].get(c) or self.compile(state, c)
+            first, state = x[0], y[0]
+            more += y[1] - x[1]
+            if first == state:
+                break
+        return m.count + more, m.state if m.reset or first == state else state
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.state is None:
-            return ChunkMap(a.head + b.head, b.count, b.state)
-        state, n = self.run(a.state, b.head)
-        return ChunkMap(a.head, a.count + n + b.count, state if b.state is None else b.state)
+        n, state = self.enter(b, a.state)
+        return ChunkMap(a.count + n, state, parts=(a, b))
 
-    def count(self, text: str, chunk: int = CHUNK) -> int:
-        if not text:
-            return 0
+    def reduced(self, maps: list[ChunkMap]) -> ChunkMap:
+        """The map of them all, at least one, composed in pairs."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
+    def text_map(self, marked: str, chunk: int = CHUNK) -> ChunkMap:
         if len(self.sets) > STATES:
             self._restart()
         if len(self.table) > WORDS:
             self.table, self.older = {}, self.table
-        marked = MARK + text.replace(" ", MARK)
-        maps = [self.chunk_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return self.run(0, maps[0].head)[1] + maps[0].count
+        return self.reduced([self.chunk_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)])
+
+    def count(self, text: str, chunk: int = CHUNK) -> int:
+        return self.text_map(MARK + text.replace(" ", MARK), chunk).count if text else 0
 
 
-def counted(docs: DataFrame, keep: list[str], text: str = "text", limit: int = LIMIT, path: str | None = None) -> DataFrame:
+_STATE = "array<struct<node: int, before: int, count: int>>"
+
+
+def counted(docs: DataFrame, keep: list[str], text: str = "text", limit: int = LIMIT, path: str | None = None, long: int = LONG) -> DataFrame:
     """The columns to keep, n_bytes, n_tokens, over_limit."""
     shared = docs.sparkSession.sparkContext.broadcast(read_pieces(path or default_path()))
     own = token()
-    kept = docs.select(*keep).schema
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.fields)
+    names = [f"k{i}" for i in range(len(keep))]  # whatever their own names are
+    size = F.length("t")
+    starts = F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(long))
+    source = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.coalesce(text, F.lit("")).alias("t"))
+    # ids are given once and written with the rows
+    pieces = source.withColumn("rid", F.monotonically_increasing_id()).select(*names, "bytes", "rid", F.posexplode(F.when(size <= long, F.array("t")).otherwise(F.transform(starts, lambda i: F.substring("t", i, F.lit(long))))).alias("pos", "t"), (size > long).alias("cut"))
+    fields = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, source.schema.fields, strict=False))
+    arrow = to_arrow_type(T.DataType.fromDDL(_STATE))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         machine = worker_state(own, lambda: Transducer(shared.value))
-        counts = [machine.count(t) if t else 0 for t in batch.column("__text").to_pylist()]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column("__bytes"), pa.array(counts, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
-
-    source = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("__bytes"))
-    return map_texts(source, "__text", run, f"{fields}n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+        counts, heads, resets, states = [], [], [], []
+        for t, pos, cut in zip(*(batch.column(c).to_pylist() for c in ("t", "pos", "cut")), strict=True):
+            if not cut:
+                counts.append(machine.count(t))
+                heads.append(None)
+                resets.append(None)
+                states.append(None)
+                continue
+            m = machine.text_map(MARK * (pos == 0) + t.replace(" ", MARK))
+            head = first_reset(m)
+            counts.append(m.count)
+            heads.append(head[0])
+            resets.append(head[1])
+            states.append([dict(zip(("node", "before", "count"), e, strict=True)) for e in machine.sets[m.state]])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "bytes", "rid", "pos")), pa.array(counts, pa.int64()), pa.array(heads, pa.string()), pa.array(resets, pa.bool_()), pa.array(states, arrow)], names=[*names, "bytes", "rid", "pos", "n", "head", "reset", "state"])
+
+    def join(t: pa.Table) -> pa.Table:
+        machine = worker_state(own, lambda: Transducer(shared.value))
+        rows = t.sort_by("pos").to_pylist()
+        state_of = lambda row: machine.state_of(tuple((e["node"], e["before"], e["count"]) for e in row["state"]))
+        whole = machine.reduced([ChunkMap(r["n"], state_of(r), r["head"], r["reset"]) for r in rows])
+        return pa.table({"rid": pa.array([rows[0]["rid"]], pa.int64()), "whole": pa.array([whole.count], pa.int64())})
+
+    mapped = written(map_texts(pieces, "t", run, f"{fields}bytes long, rid long, pos int, n long, head string, reset boolean, state {_STATE}"))
+    # the pieces of a long text meet again by their maps: heads are short but where no word ends
+    sums = mapped.filter("state is not null").select("rid", "pos", "n", "head", "reset", "state").groupBy("rid").applyInArrow(join, "rid long, whole long")
+    counts_ = mapped.filter("pos = 0").join(sums, "rid", "left").withColumn("n_tokens", F.coalesce("whole", "n"))
+    return counts_.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("bytes").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
