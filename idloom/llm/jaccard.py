@@ -1,15 +1,18 @@
-"""Near-duplicates by the exact Jaccard similarity of five-word shingles.
+"""Links between sets of shingles of an exact Jaccard similarity, 4 / 5 or more: what module simhash asks for where fingerprints
+a few bits apart aren't enough.
 
-A text is the set of its shingles, as 64-bit hashes; texts with one set are one node. Two nodes are linked if their sets
-have a Jaccard similarity of 0.8 or more. Candidates come from prefix filtering: with all shingles in one order, the rarest
-first, linked sets of n shingles share one among their first n - ceil(0.8 n) + 1. Shingles of one node alone come first and
-are dropped, so nearly all that is left belongs to near copies. No linked pair is lost.
+A node is a distinct set of 64-bit shingle hashes. All shingles have one order, the rarest first; in it, linked sets of n and m
+shingles share one at places i and j such that n - i and m - j are both at least 4 (n + m) / 9 (prefix filter with
+positions). So a shingle of a set stands in the shingle's list with the largest partner that it can still announce, and lists are
+joined with themselves under these bounds. Shingles of one node alone come first in the order and are dropped.
 
-Nodes that share a prefix shingle are compared in rounds: in a round the first members of each shingle's list meet
-all others of it that aren't in their component yet, and leave. Lists whose nodes aren't linked still cost up to their square.
+Candidates are compared in rounds: first every node with the most central member (that with the fewest shingles of its own) of
+its lists, which joins most groups of near copies at once; then a growing share of each list's members, chosen by a
+hash, meet all others of the list that aren't in their component yet, and leave it. Lists whose nodes aren't linked cost up to their
+square; no candidate is left out.
 
-Defined results: texts of fewer words have one shingle, all their words; so have those without words, null and empty
-ones among them. Further rules are those of module simhash.
+Shingles that many documents of a sample share (`hot`, a bounded number) come last in the order and are never counted or
+sorted by, so no list or group of theirs is a hot key. The sample decides on the order only: results don't depend on it.
 """
 
 from __future__ import annotations
@@ -21,84 +24,116 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from idloom.llm.common import map_texts, written
-from idloom.llm.simhash import SEED, stars
+from idloom.llm.components import stars
 
+#: The similarity, as a fraction.
+A, B = 4, 5
 WORDS = 5
+#: Documents that are looked at for hot shingles, on average; documents of these that a hot one is in; and how many there may be.
+SAMPLE, OFTEN, MOST = 2048, 6, 100_000
+SEED = 42
+_RANGE = 1 << 30
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted and distinct hashes, at least one."""
-    w = text.encode().lower().split() if text else []
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of all shingles, in order and with repeats; at least one, of all words if they are fewer."""
     digest = xxhash.xxh64_intdigest
-    parts = map(b" ".join, zip(*(w[i:] for i in range(WORDS)), strict=False)) if len(w) >= WORDS else (b" ".join(w),)
-    return np.unique(np.fromiter((digest(p, SEED) for p in parts), np.uint64)).view(np.int64)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else (b" ".join(words),)
+    return np.fromiter((digest(p, SEED) for p in parts), np.uint64)
+
+
+def of_text(text: str | None, size: int) -> np.ndarray:
+    """The set of a text: sorted and distinct."""
+    return np.unique(shingles(text.encode().lower().split() if text else [], size)).view(np.int64)
 
 
 def node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, node and n (number of shingles) of every row."""
-    kind = docs.schema[key].dataType.simpleString()
+def inside(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def hot(docs: DataFrame, text: str, size: int) -> np.ndarray:
+    """Shingles that at least OFTEN documents of a sample have, at most MOST."""
+    picked = docs.select(F.coalesce(text, F.lit("")).alias("t")).filter(F.pmod(F.xxhash64(F.lit(17), "t"), F.lit(_RANGE)) < int(_RANGE * min(1, SAMPLE / max(1, docs.count()))))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [shingles(t) for t in batch.column(text).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(map(node, got)), pa.int64()), pa.array(list(map(len, got)), pa.int64())], names=[key, "node", "n"])
+        h, c = np.unique(np.concatenate(list({node(s): s for s in (of_text(t, size) for t in batch.column("t").to_pylist())}.values())), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], names=["h", "c"])
 
-    return map_texts(docs.select(key, text), text, run, f"`{key}` {kind}, node long, n long")
+    found = map_texts(picked, "t", run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN)
+    return np.sort(found.orderBy(F.desc("c"), "h").limit(MOST).select("h").toArrow()["h"].to_numpy())
 
 
-def common(docs: DataFrame, text: str) -> DataFrame:
-    """node, toks: shingles that other nodes have as well, the rarest first, for nodes that have any."""
+def common(docs: DataFrame, text: str, size: int, often: np.ndarray) -> DataFrame:
+    """node, toks: the shingles that other nodes have as well, the rarest first and without hot ones, for nodes that have any."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+    met: set[int] = set()  # of a task: copies are told once
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [shingles(t) for t in batch.column(text).to_pylist()]
-        nodes = np.repeat(np.array(list(map(node, got)), np.int64), list(map(len, got)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(got))], names=["node", "h"])
+        nodes, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(met) > 1 << 20:
+            met.clear()
+        for t in batch.column("t").to_pylist():
+            s = of_text(t, size)
+            if (n := node(s)) not in met:
+                met.add(n)
+                s = s[~inside(shared.value, s)]
+                nodes.append(np.full(len(s), n))
+                hashes.append(s)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(hashes))], names=["node", "h"])
 
     own = Window.partitionBy("h")
-    found = map_texts(docs.select(text), text, run, "node long, h long")
+    found = map_texts(docs.select(F.col(text).alias("t")), "t", run, "node long, h long")
     found = found.select("node", "h", F.count("*").over(own).alias("df"), F.min("node").over(own).alias("a"), F.max("node").over(own).alias("b")).filter("a <> b")
     return found.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s")).select("node", F.col("s.h").alias("toks"))
 
 
-def links(nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """u, v with v the smallest node of u's component, for every u that isn't that itself."""
-    spark = nodes.sparkSession
-    least = F.ceil(F.col("n") * 4 / 5)
-    full = written(shared.join(nodes.select("node", "n"), "node").withColumn("p", (F.size("toks") - least + 1).cast("int")).filter("p > 0"))
-    rest = written(full.select("node", "n", F.explode(F.slice("toks", F.lit(1), F.col("p"))).alias("h")))
-    label = spark.createDataFrame([], "u long, v long")
-    first = 1
+def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """u, v: the pairs `node`, `with` whose sets are similar. full: node, n and all shingles that others have as well."""
+    one = full.select("node", "n", "toks")
+    both = pairs.join(one, "node").join(one.select(F.col("node").alias("with"), F.col("n").alias("m"), F.col("toks").alias("others")), "with")
+    return both.filter((A + B) * F.size(F.array_intersect("toks", "others")) >= A * (F.col("n") + F.col("m"))).select(F.col("node").alias("u"), F.col("with").alias("v"))
+
+
+def entries(full: DataFrame) -> DataFrame:
+    """h, node, n, most (shingles of the largest partner) and alone (shingles of its own) for each shingle that can announce a partner."""
+    places = full.withColumn("p", F.floor((B * F.size("toks") - A * F.col("n")) / B).cast("int") + 1).filter("p > 0")
+    rows = places.select("node", "n", F.size("toks").alias("m"), F.posexplode(F.slice("toks", F.lit(1), F.col("p"))).alias("k", "h"))
+    return rows.select("h", "node", "n", (F.floor((A + B) * (F.col("m") - F.col("k")) / A) - F.col("n")).alias("most"), ((F.col("n") - F.col("m")) / F.col("n")).alias("alone"))
+
+
+def links(nodes: DataFrame, shared: DataFrame, near: DataFrame) -> DataFrame:
+    """u, v with v the smallest node of u's component, for every u that isn't that itself. nodes: node, n, hot; shared: node, toks;
+    near: pairs node, with that are worth comparing first."""
+    none = F.array().cast("array<bigint>")
+    full = written(nodes.join(shared, "node", "left").select("node", "n", F.concat(F.coalesce("toks", none), "hot").alias("toks")).filter(B * F.size("toks") >= A * F.col("n")))
+    may = (F.col("node") != F.col("q.node")) & (F.col("n") <= F.col("q.most")) & (F.col("q.n") <= F.col("most"))
+
+    every = entries(full)
+    alive = every.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("alone", "node", "n", "most")).alias("q")).filter("c > 1")
+    every = written(every.join(alive, "h"))
+    central = every.filter(may).groupBy("node").agg(F.min("q").alias("q")).select("node", F.col("q.node").alias("with"))
+    label = stars(linked(near.union(central).distinct(), full))
+    rest, share = every.drop("c", "q"), 1
     while True:
-        own = Window.partitionBy("h")
-        live = rest.join(label.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        live = live.withColumn("a", F.min("root").over(own)).withColumn("b", F.max("root").over(own)).filter("a <> b").drop("a", "b")
-        live = written(live.withColumn("r", F.row_number().over(own.orderBy(F.xxhash64("node"), "node"))))
-        if live.isEmpty():
+        rooted = rest.join(label.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        lists = rooted.groupBy("h").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b"), F.min("n").alias("low"), F.max("most").alias("high")).filter("a <> b")
+        live = written(rooted.join(lists, "h").filter("most >= low and n <= high").select("h", "node", "n", "most", "root", "c"))
+        size, pairs = live.agg(F.count("*"), F.sum((F.col("c") - 1) / 2)).first()
+        if not size:
             return label
-        lead = live.filter(F.col("r") <= first).groupBy("h").agg(F.collect_list(F.struct("node", "n", "root", "r")).alias("q"))
-        pairs = live.join(lead, "h").select("node", "n", "root", "r", F.explode("q").alias("q"))
-        pairs = pairs.filter("q.r < r and q.root <> root and 5 * least(n, q.n) >= 4 * greatest(n, q.n)").select("node", "n", F.col("q.node").alias("with"), F.col("q.n").alias("m")).distinct()
-        # a node that leads many is met last, where Spark may split it
-        both = pairs.join(full.select("node", "toks"), "node").join(full.select(F.col("node").alias("with"), F.col("toks").alias("others")), "with")
-        new = both.filter(9 * F.size(F.array_intersect("toks", "others")) >= 4 * (F.col("n") + F.col("m"))).select(F.col("node").alias("u"), F.col("with").alias("v"))
-        new = written(new)
+        last = pairs <= 4 * size
+        leads = live.withColumn("lead", F.lit(True) if last else F.pmod(F.xxhash64(F.lit(share), "node"), F.ceil(F.col("c") / share)) == 0)
+        q = leads.filter("lead").select("h", F.struct("node", "n", "most", "root").alias("q"))
+        met = leads.join(q, "h").filter(may & (F.col("root") != F.col("q.root")) & (~F.col("lead") | (F.col("node") < F.col("q.node")))).select("node", F.col("q.node").alias("with")).distinct()
+        new = written(linked(met, full))
         if not new.isEmpty():
-            label = stars(label.union(new) if first > 1 else new)
-        rest = live.filter(F.col("r") > first).select("node", "n", "h")
-        first *= 2
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id for every row."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    rows = written(sets(docs, "doc_id", "t"))
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")))
-    star = links(nodes, common(docs, "t"))
-    linked = star.union(star.select("v", "v").distinct()).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    member = linked.join(nodes, "node")
-    least = member.groupBy("root").agg(F.min("first").alias("least"))
-    found = nodes.join(member.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(found, "node").select("doc_id", "component_id")
+            label = stars(label.union(new))
+        if last:
+            return label
+        rest, share = written(leads.filter("not lead").select("h", "node", "n", "most")), share * 4

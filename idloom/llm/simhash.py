@@ -1,21 +1,25 @@
 """SimHash near-duplicates by a vantage-point tree over fingerprints.
 
-Distinct fingerprints are routed through a tree fitted on a bounded sample: at a node, those within `m` bits of
-the vantage point go inside, the others outside, and an inner one that may have a partner outside, by the triangle
-inequality, also visits the outside. So every linked pair meets in exactly one shard. A shard splits
-its own points in the same way, compares what is left bit by bit, and returns a spanning forest of its links,
-never the pairs of a group. Components of these forests come from alternating star contractions over
-tables in the shared folder. Copies are one fingerprint throughout and meet their document rows in one
-equi-join, which Spark may split where a fingerprint is hot.
+Distinct fingerprints are routed through a tree: at a node, those within `m` bits of the vantage point go inside, the others outside, and
+an inner one that may have a partner outside, by the triangle inequality, also visits the outside. So every linked pair meets in
+exactly one shard. The first tree is fitted on a bounded sample; shards that hold too many points, visits counted, get a tree of their own,
+fitted on a sample of theirs, and are routed again in tasks of bounded size, level by level, until none is too large or can be split. A shard
+splits its own points in the same way, compares what is left bit by bit, and returns a spanning forest of its links, never the
+pairs of a group. Components of these forests come from star contractions over tables in the shared folder. Copies are one
+fingerprint throughout and meet their document rows in one equi-join, which Spark may split where a fingerprint is hot.
+
+With a similarity asked for, pairs that the tree links are compared by their sets of shingles, and module jaccard completes them with those pairs
+that are similar although their fingerprints are further apart; links are then exact by similarity.
 
 Defined results: null and empty texts, and those without words, have fingerprint zero and are linked like any
-other. component_id is the smallest non-null id reachable; null only if all ids of a component are null. Rows
+other (by similarity: their one shingle is empty). Texts of fewer words than a shingle have one shingle, all their words.
+component_id is the smallest non-null id reachable; null only if all ids of a component are null. Rows
 repeat as in the input; further columns are ignored. Very long texts are hashed whole, in blocks.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,13 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from idloom.llm import jaccard
 from idloom.llm.common import map_texts, table, written
+from idloom.llm.components import least, stars
 
 WORDS, SEED, RADIUS = 3, 42, 2
-#: Fingerprints that the routing tree is fitted on, on average; and those that a shard should have.
-SAMPLE, SHARD, SHARDS = 16_384, 512, 4096
+#: Fingerprints that the first tree is fitted on, and that of a shard, on average; and those that a shard should have, visits counted.
+SAMPLE, FIT, SHARD = 16_384, 4096, 4096
+#: Points that one task routes.
+ROUTED = 1 << 16
 #: Points that are compared directly.
 DIRECT = 192
+#: What a further copy of a point costs, in comparisons; and what share of them a split must save.
+COPY, SAVED = 24.0, 0.1
 _BLOCK, _RANGE = 1 << 16, 1 << 30
 
 
@@ -45,7 +55,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     for at in range(0, n, _BLOCK):
         size = min(_BLOCK, n - at)
         h = np.fromiter((digest(s, SEED) for _, s in zip(range(size), shingles, strict=False)), np.uint64, size)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += set_bits(h)
+    return majority(ones, n)
+
+
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -60,62 +78,72 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words: in
     return map_texts(docs.select(*keep, F.col(text).alias("__text")), "__text", run, f"{fields}fp long")
 
 
-def vantage(points: np.ndarray, radius: int, seed: int) -> tuple[np.uint64, int] | None:
-    """A vantage point and distance that split the points with little overlap; None if none splits them."""
-    tried = points[np.random.default_rng(seed).permutation(len(points))[:12]]
-    best = None
-    for v in tried:
-        counts = np.bincount(np.bitwise_count(points ^ v), minlength=65) / len(points)
-        inside = np.cumsum(counts)
-        for m in np.flatnonzero((inside > 1e-9) & (inside < 1 - 1e-9)):
-            f = inside[m]
-            gain = -f * math.log(f) - (1 - f) * math.log(1 - f)
-            overlap = counts[max(0, m - radius + 1) : m + radius + 1].sum()
-            cost = (overlap + 0.02) / gain
-            if best is None or cost < best[0]:
-                best = cost, v, int(m)
-    return best and best[1:]
-
-
-def grow(points: np.ndarray, least: int, radius: int = RADIUS) -> list[tuple]:
-    """The routing tree as rows (vantage point, m, inside, outside); a child below zero is shard -1 - child."""
+def bits(a: np.ndarray, b) -> np.ndarray:
+    return np.bitwise_count(a ^ b).astype(np.int64)
+
+
+def vantage(own: np.ndarray, visits: np.ndarray, radius: int, seed: int, scale: float = 1.0) -> tuple[np.uint64, int] | None:
+    """The vantage point and distance of the split that saves most comparisons, less what its copies cost; None if no split is worth
+    it. scale: how many points one of these stands for."""
+    best, found = (1 - SAVED) * (len(own) * (len(own) / 2 + len(visits))) * scale, None
+    m = np.arange(65)
+    for v in own[np.random.default_rng(seed).permutation(len(own))[:12]]:
+        mine, others = (np.concatenate(([0], np.cumsum(np.bincount(bits(x, v), minlength=65)))) for x in (own, visits))
+        inside, low, high = mine[m + 1], np.maximum(m - radius + 1, 0), np.minimum(m + radius + 1, 65)
+        outside = len(own) - inside
+        border = inside - mine[low]
+        met = others[high], border + len(visits) - others[low]
+        cost = (inside * (inside / 2 + met[0]) + outside * (outside / 2 + met[1])) * scale + COPY * (met[0] + met[1] - len(visits))
+        cost[(inside == 0) | (outside == 0)] = np.inf
+        at = int(cost.argmin())
+        if cost[at] < best:
+            best, found = cost[at], (v, at)
+    return found
+
+
+def divided(own: np.ndarray, visits: np.ndarray, to: tuple, split: tuple, radius: int) -> tuple[tuple, tuple]:
+    """Own points and visits, given by index into `to`, inside and outside."""
+    (v, m), points = split, to
+    d, e = bits(points[own], v), bits(points[visits], v)
+    return (own[d <= m], visits[e - radius <= m]), (own[d > m], np.concatenate((own[(d <= m) & (d + radius > m)], visits[e + radius > m])))
+
+
+def grow(points: np.ndarray, visits: np.ndarray, target: int, radius: int = RADIUS, scale: float = 1.0) -> list[tuple]:
+    """The routing tree as rows (vantage point, m, inside, outside); a child below zero is shard -1 - child. visits: which points
+    don't belong; target: points of a shard, visits counted."""
     nodes: list[list] = []
     shards = 0
 
-    def build(p: np.ndarray) -> int:
+    def build(own: np.ndarray, seen: np.ndarray) -> int:
         nonlocal shards
-        split = vantage(p, radius, len(nodes)) if len(p) > least else None
+        split = vantage(points[own], points[seen], radius, len(nodes), scale) if len(own) > 1 and len(own) + len(seen) > target else None
         if split is None:
             shards += 1
             return -shards
-        v, m = split
         at = len(nodes)
-        nodes.append([v, m, 0, 0])
-        inside = np.bitwise_count(p ^ v) <= m
-        nodes[at][2], nodes[at][3] = build(p[inside]), build(p[~inside])
+        nodes.append([*split, 0, 0])
+        nodes[at][2:] = [build(*part) for part in divided(own, seen, points, split, radius)]
         return at
 
-    build(points)
+    build(np.flatnonzero(~visits), np.flatnonzero(visits))
     return [tuple(n) for n in nodes]
 
 
-def route(tree: list[tuple], points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(tree: list[tuple], points: np.ndarray, visits: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shard, point's index and whether it visits, for every place that a point goes to."""
     out = []
-    work = [(0 if tree else -1, np.arange(len(points)), np.zeros(0, np.int64))]
+    work = [(0 if tree else -1, np.flatnonzero(~visits), np.flatnonzero(visits))]
     while work:
-        at, own, visit = work.pop()
-        if not len(own) + len(visit):
+        at, own, seen = work.pop()
+        if not len(own) + len(seen):
             continue
         if at < 0:
-            out += [(np.full(len(i), -1 - at), i, np.full(len(i), who)) for i, who in ((own, False), (visit, True))]
+            out += [(np.full(len(i), -1 - at), i, np.full(len(i), who)) for i, who in ((own, False), (seen, True))]
             continue
-        v, m, inside, outside = tree[at]
-        d, e = np.bitwise_count(points[own] ^ v).astype(np.int64), np.bitwise_count(points[visit] ^ v).astype(np.int64)
-        work.append((inside, own[d <= m], visit[e - radius <= m]))
-        work.append((outside, own[d > m], np.concatenate((own[(d <= m) & (d + radius > m)], visit[e + radius > m]))))
+        v, m, *children = tree[at]
+        work += [(child, *part) for child, part in zip(children, divided(own, seen, points, (v, m), radius), strict=True)]
     shard, index, who = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
-    return shard, index, who
+    return shard, index, who.astype(bool)
 
 
 def link(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -137,43 +165,95 @@ def forest(points: np.ndarray, visits: np.ndarray, radius: int = RADIUS) -> np.n
     labels = np.arange(len(points))
     work = [(np.flatnonzero(~visits), np.flatnonzero(visits))]
     while work:
-        own, visit = work.pop()
+        own, seen = work.pop()
         if not len(own):
             continue
-        split = vantage(points[own], radius, len(own)) if len(own) > DIRECT else None
-        if split is None:
-            every = np.concatenate((own, visit))
-            for at in range(0, len(own), DIRECT):
-                for to in range(at, len(every), 1 << 14):
-                    i, j = np.nonzero(np.bitwise_count(points[own[at : at + DIRECT], None] ^ points[None, every[to : to + (1 << 14)]]) <= radius)
-                    link(labels, own[at + i], every[to + j])
+        split = vantage(points[own], points[seen], radius, len(own)) if len(own) > DIRECT else None
+        if split is not None:
+            work += divided(own, seen, points, split, radius)
             continue
-        v, m = split
-        d, e = np.bitwise_count(points[own] ^ v).astype(np.int64), np.bitwise_count(points[visit] ^ v).astype(np.int64)
-        work.append((own[d <= m], visit[e - radius <= m]))
-        work.append((own[d > m], np.concatenate((own[(d <= m) & (d + radius > m)], visit[e + radius > m]))))
+        every = np.concatenate((own, seen))
+        for at in range(0, len(own), DIRECT):
+            for to in range(at, len(every), 1 << 14):
+                i, j = np.nonzero(np.bitwise_count(points[own[at : at + DIRECT], None] ^ points[None, every[to : to + (1 << 14)]]) <= radius)
+                link(labels, own[at + i], every[to + j])
     return labels
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u, v: edges that connect what is linked among the distinct fingerprints `fp` of nodes."""
+_PLACE = "shard long, fp long, visits boolean"
+
+
+def _places(shard: np.ndarray, fp: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(fp), pa.array(who)], names=["shard", "fp", "visits"])
+
+
+def _first_level(nodes: DataFrame, radius: int) -> DataFrame:
     spark = nodes.sparkSession
     n = nodes.count()
     picked = nodes.filter(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(_RANGE)) < int(_RANGE * min(1, SAMPLE / max(1, n)))).select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
-    shards = min(SHARDS, -(-n // SHARD))
-    tree = grow(np.sort(picked), max(4, len(picked) // max(1, shards)), radius)
+    scale = n / max(1, len(picked))
+    tree = grow(np.sort(picked), np.zeros(len(picked), bool), max(16, int(SHARD / scale)) if scale > 1 else SHARD, radius, max(1.0, scale))
 
-    def deal(batches):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for b in chain(batches, [None]):  # None: no more come
             if b is not None:
                 held.append(b.column("fp").to_numpy())
                 rows += len(held[-1])
-            if rows >= _BLOCK or b is None and rows:
+            if rows >= ROUTED or b is None and rows:
                 fp = np.concatenate(held)
                 held, rows = [], 0
-                shard, index, who = route(tree, fp.view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fp[index]), pa.array(who.astype(bool))], names=["shard", "fp", "visits"])
+                shard, index, who = route(tree, fp.view(np.uint64), np.zeros(len(fp), bool), radius)
+                yield _places(shard, fp[index], who)
+
+    return nodes.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(deal, _PLACE)
+
+
+def _next_level(large: DataFrame, level: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The shards (with c, their sizes) dealt anew, and those that can't be split."""
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        points, visits, c = t["fp"].to_numpy().view(np.uint64), t["visits"].to_numpy(), t["c"][0].as_py()
+        at = np.argsort(points, kind="stable")
+        scale = max(1.0, c / len(points))
+        rows = grow(points[at], visits[at], max(16, int(SHARD / scale)), radius, scale)
+        v, m, inside, outside = (np.array(x, k) for x, k in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64, np.int64), strict=True)) if rows else (np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64))
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "at": np.arange(len(rows)), "v": v.view(np.int64), "m": m, "inside": inside, "outside": outside})
+
+    def again(key: tuple, t: pa.Table, tree: pa.Table) -> pa.Table:
+        tree = tree.sort_by("at")
+        rows = list(zip(tree["v"].to_numpy().view(np.uint64), *(tree[c].to_pylist() for c in ("m", "inside", "outside")), strict=True))
+        fp = t["fp"].to_numpy()
+        shard, index, who = route(rows, fp.view(np.uint64), t["visits"].to_numpy(), radius)
+        return pa.Table.from_batches([_places(shard, fp[index], who)]).append_column("of", pa.array([key[0].as_py()] * len(shard), pa.int64()))
+
+    sample = large.filter(F.pmod(F.xxhash64(F.lit(level), "fp"), F.lit(_RANGE)) < F.lit(_RANGE) * F.least(F.lit(1.0), FIT / F.col("c")))
+    trees = written(sample.groupBy("shard").applyInArrow(fit, "shard long, at long, v long, m long, inside long, outside long"))
+    tasks = F.ceil(F.col("c") / ROUTED)
+    known = large.join(trees.select("shard").distinct(), "shard", "left_semi").withColumn("part", F.pmod(F.xxhash64("fp"), tasks))
+    parts = trees.join(large.select("shard", tasks.alias("k")).distinct(), "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = known.groupBy("shard", "part").cogroup(parts.groupBy("shard", "part")).applyInArrow(again, f"{_PLACE}, of long")
+    # shards of equal hashes would be one, which loses nothing
+    dealt = dealt.select(F.xxhash64("of", "shard").alias("shard"), "fp", "visits")
+    return dealt, large.join(trees.select("shard").distinct(), "shard", "left_anti").select("shard", "fp", "visits")
+
+
+def shards(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """shard, fp, visits: the places of all fingerprints. A shard of more than twice SHARD is one that can't be split."""
+    out, dealt, level = None, written(_first_level(nodes, radius)), 0
+    while True:
+        level += 1
+        sizes = written(dealt.groupBy("shard").agg(F.count("*").alias("c")).filter(F.col("c") > 2 * SHARD))
+        if sizes.isEmpty():
+            return dealt if out is None else out.union(dealt)
+        small = dealt.join(sizes, "shard", "left_anti")
+        dealt, whole = _next_level(dealt.join(sizes, "shard"), level, radius)
+        out = small.union(whole) if out is None else out.union(small).union(whole)
+        dealt = written(dealt)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u, v: edges that connect what is linked among the distinct fingerprints `fp` of nodes."""
 
     def search(t: pa.Table) -> pa.Table:
         fp = t["fp"].to_numpy()
@@ -183,39 +263,52 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         some = root != np.arange(len(fp))
         return pa.table({"u": fp[some], "v": fp[root[some]]})
 
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.select("fp").repartition(partitions).mapInArrow(deal, "shard int, fp long, visits boolean").repartition(partitions, "shard").groupBy("shard").applyInArrow(search, "u long, v long")
-
-
-def stars(edges: DataFrame) -> DataFrame:
-    """u, v with v the smallest node that u is connected to, for every u that isn't the smallest itself; by
-    alternating large-star and small-star steps until nothing changes."""
-    edges, mark = written(edges), None
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = written(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            return edges
-        mark = now
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards(nodes, radius).repartition(partitions, "shard").groupBy("shard").applyInArrow(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id for every row."""
     rows = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), ["doc_id"], "t", words))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    star = stars(links(nodes, radius))
-    linked = star.union(star.select("v", "v").distinct()).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    member = linked.join(nodes, "fp")
-    least = member.groupBy("root").agg(F.min("first").alias("least"))
-    found = nodes.join(member.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    found = least(stars(links(nodes, radius)), nodes, "fp")
     return rows.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _sets(docs: DataFrame, often: np.ndarray, words: int) -> DataFrame:
+    """doc_id, node, n (number of shingles), fp and hot (shingles that are often met) of every row."""
+    kind, shared = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, n, fp, hot, ends = [], [], [], [], [0]
+        for t in batch.column("t").to_pylist():
+            every = jaccard.shingles(w := t.encode().lower().split() if t else [], words)
+            own = np.unique(every).view(np.int64)
+            node.append(jaccard.node(own))
+            n.append(len(own))
+            fp.append(majority(set_bits(every), len(every)) if w else 0)
+            hot.append(own[jaccard.inside(shared.value, own)])
+            ends.append(ends[-1] + len(hot[-1]))
+        lists = pa.ListArray.from_arrays(np.array(ends, np.int32), pa.array(np.concatenate(hot)))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), lists], names=["doc_id", "node", "n", "fp", "hot"])
+
+    return map_texts(docs, "t", run, f"doc_id {kind}, node long, n long, fp long, hot array<long>")
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = jaccard.WORDS) -> DataFrame:
+    """doc_id, component_id for every row: components of texts whose sets of shingles have a Jaccard similarity of 4 / 5 or more."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    often = jaccard.hot(docs, "t", words)
+    rows = written(_sets(docs, often, words))
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("hot").alias("hot")))
+    lead = written(nodes.groupBy("fp").agg(F.min("node").alias("with")))
+    same = nodes.join(lead, "fp").filter(F.col("node") != F.col("with")).select("node", "with")
+    of = lambda end, name: lead.select(F.col("fp").alias(end), F.col("with").alias(name))
+    tree = links(lead, radius).join(of("u", "node"), "u").join(of("v", "with"), "v").select("node", "with")
+    star = jaccard.links(nodes, jaccard.common(docs, "t", words, often), same.union(tree))
+    return rows.select("doc_id", "node").join(least(star, nodes, "node"), "node").select("doc_id", "component_id")
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id for every document."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as p
-from tests.llm import test_decontaminate, test_pii, test_simhash
+from tests.llm import test_decontaminate, test_jaccard, test_pii
 from tokenizers import Tokenizer
 
 from idloom.llm import bpe, decontaminate
@@ -21,7 +21,7 @@ def test_stages_against_brute_force(spark):
     assert all(rows[i] == before[i] for i in rows)
 
     order = sorted(rows)
-    group = test_simhash.brute_components([test_simhash.brute_fingerprint(rows[i].text) for i in order])
+    group = test_jaccard.brute([rows[i].text for i in order])
     docs = p.written(p.near_duplicates(spark, docs, SF))
     kept = {r.doc_id: r for r in docs.collect()}
     assert set(kept) == {order[g] for g in group} and docs.columns == columns and len(kept) < len(rows)
@@ -56,10 +56,10 @@ def test_odd_rows(spark):
     other = " ".join(word() for _ in range(60))
     third = " ".join(word() for _ in range(60))
     rows = [(1, text, "en", "s", 1, "x"), (1, text, "en", "s", 1, "x"), (2, text, None, "s", 1, "x"), (None, text, "en", None, None, "x"), (3, None, "en", "s", 0, "x"), (4, "", "en", "s", 0, "x"), (5, "123", "en", "s", 3, "x"), (6, other, "en", "s", 1, None), (None, third, "en", "s", 1, "x"), (7, "word " * 30000, "en", "s", 1, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string")
     for _, stage in p.STAGES[:-1]:
         docs = p.written(stage(spark, docs, SF))
-    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"]
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "key"]
     assert sorted((x.doc_id or 0, x.n_chars) for x in docs.collect()) == sorted([(1, len(text)), (6, len(other)), (0, len(third)), (7, 150000)])
     none = spark.createDataFrame([], docs.schema)
     for _, stage in p.STAGES:

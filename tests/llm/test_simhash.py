@@ -51,13 +51,14 @@ def test_tree_loses_no_link():
     r = random.Random(9)
     fps = clustered(r, 1500)
     points = np.array(fps, np.uint64)
-    tree = s.grow(points[::3], 40)
-    shard, index, visits = s.route(tree, points)
-    assert sorted(index[~visits.astype(bool)]) == list(range(len(fps))) and len(set(shard)) > 10
+    none = np.zeros(len(points), bool)
+    tree = s.grow(points[::3], none[::3], 40)
+    shard, index, visits = s.route(tree, points, none)
+    assert sorted(index[~visits]) == list(range(len(fps))) and len(set(shard)) > 10
     labels = np.arange(len(fps))
     for k in set(shard):
         own = np.flatnonzero(shard == k)
-        root = s.forest(points[index[own]], visits[own].astype(bool))
+        root = s.forest(points[index[own]], visits[own])
         s.link(labels, index[own], index[own][root])
     assert labels.tolist() == brute_components(fps)
 
@@ -70,19 +71,37 @@ def test_documents(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in s.op7(spark, sf).collect()} == want
 
 
+def signed(fps):
+    return [int(np.uint64(f).view(np.int64)) for f in fps]
+
+
 def test_many_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(s, "SHARD", 64)
+    """With a small sample, so that shards are split again over several levels."""
+    for k, v in {"SHARD": 48, "SAMPLE": 64, "FIT": 128, "ROUTED": 256}.items():
+        monkeypatch.setattr(s, k, v)
     r = random.Random(11)
     fps = clustered(r, 1200)
-    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    nodes = spark.createDataFrame([(f,) for f in signed(fps)], "fp long")
     got = {r.u: r.v for r in s.stars(s.links(nodes)).collect()}
-    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
     groups = {}
-    for f, g in zip(signed, brute_components(fps), strict=True):
+    for f, g in zip(signed(fps), brute_components(fps), strict=True):
         groups.setdefault(g, []).append(f)
     assert got == {f: min(g) for g in groups.values() for f in g if f != min(g)}
 
 
+def test_largest_shard_is_bounded(spark):
+    r = np.random.default_rng(4)
+    for n in (20_000, 120_000):
+        centres = r.integers(0, 1 << 63, 50, dtype=np.uint64)
+        near = centres[r.integers(0, 50, n // 4)]
+        for _ in range(5):
+            near = near ^ (np.uint64(1) << r.integers(0, 64, n // 4).astype(np.uint64))
+        fps = np.unique(np.concatenate((near, r.integers(0, 1 << 63, n - n // 4, dtype=np.uint64) * np.uint64(2))))
+        places = s.shards(spark.createDataFrame([(f,) for f in fps.view(np.int64).tolist()], "fp long"))
+        sizes = np.array([x.c for x in places.groupBy("shard").count().withColumnRenamed("count", "c").collect()])
+        assert places.filter("not visits").count() == len(fps) and sizes.max() <= 4 * s.SHARD, (n, sizes.max(), np.median(sizes))
+
+
 def test_nulls_repeats_and_empty_table(spark):
     schema = "doc_id long, text string, fp string, component_id int"
     rows = [(5, None, "", 0), (3, "", "", 0), (None, " ", "", 0), (9, "a b c d", "", 0), (9, "a b c d", "", 0), (None, "x y z", "", 0)]
