@@ -2,7 +2,7 @@
 
 1. language ID: documents in which no learned language is found (no letter, or an undecided score) go; a missing lang is filled in;
 2. near-duplicates: of each component of texts linked by a five-word Jaccard similarity of 0.8 or more one document
-   stays, that with the smallest id (of rows with the same id and text, one);
+   stays, that with the smallest id (of rows with the same id and text, the first one by its columns as JSON);
 3. decontamination: documents that hold a benchmark item go;
 4. personal data: spans are replaced by their kind, and n_chars is counted anew;
 5. encoding: doc_id, lang, source, n_chars, n_tokens and ids of every document that is left.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.llm import bpe, decontaminate, jaccard, lang_id, pii
+from idloom.llm import bpe, decontaminate, lang_id, pii, simhash
 from idloom.llm.common import in_fold, table, written
 
 #: Share of the posterior that a language must have for a document to stay.
@@ -33,14 +33,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names, columns = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    text, doc_id = (columns[names.index(c)] for c in ("text", "doc_id"))
     # a row's key also tells rows apart that share an id; without an id it sorts last
-    key = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("i"), F.xxhash64("text").alias("h"))
-    found = jaccard.near_duplicates(docs.select(key.alias("k"), F.col("text").alias("t")), "k", "t")
-    stay = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__rows"))
-    kept = docs.withColumn("__key", key).join(stay, "__key")
-    once = kept.filter("__rows = 1").drop("__key", "__rows")
-    more = kept.filter("__rows > 1").dropDuplicates(["__key"]).drop("__key", "__rows")
-    return once.unionByName(more).select(*docs.columns)
+    key = F.struct(F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)).alias("i"), F.xxhash64(text).alias("h"))
+    own = docs.toDF(*columns).withColumn("key", key)
+    found = simhash.similar(own, "key", text)
+    stay = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("rows"))
+    kept = own.join(stay, "key")
+    every = F.struct(*columns)
+    more = kept.filter("rows > 1").groupBy("key").agg(F.min_by(every, F.to_json(every)).alias("row")).select("row.*")
+    return kept.filter("rows = 1").select(*columns).unionByName(more).toDF(*names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
