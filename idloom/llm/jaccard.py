@@ -6,6 +6,10 @@ shingles share one at places i and j such that n - i and m - j are both at least
 positions). So a shingle of a set stands in the shingle's list with the largest partner that it can still announce, and lists are
 joined with themselves under these bounds. Shingles of one node alone come first in the order and are dropped.
 
+Most texts are like no other, and more than a fifth of their shingles are theirs alone, so they can't be linked. To find that out two in
+five shingles, chosen by their hash, are enough: only nodes that have no more than a fifth of all their shingles alone among these
+are looked at any further, now with all shingles, counted among such nodes.
+
 Candidates are compared in rounds: first every node with the most central member (that with the fewest shingles of its own) of
 its lists, which joins most groups of near copies at once; then a growing share of each list's members, chosen by a
 hash, meet all others of the list that aren't in their component yet, and leave it. Lists whose nodes aren't linked cost up to their
@@ -32,6 +36,8 @@ WORDS = 5
 #: Documents that are looked at for hot shingles, on average; documents of these that a hot one is in; and how many there may be.
 SAMPLE, OFTEN, MOST = 2048, 6, 100_000
 SEED = 42
+#: Nodes whose hashes may be broadcast.
+FEW = 1 << 20
 _RANGE = 1 << 30
 
 
@@ -69,9 +75,15 @@ def hot(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return np.sort(found.orderBy(F.desc("c"), "h").limit(MOST).select("h").toArrow()["h"].to_numpy())
 
 
-def common(docs: DataFrame, text: str, size: int, often: np.ndarray) -> DataFrame:
-    """node, toks: the shingles that other nodes have as well, the rarest first and without hot ones, for nodes that have any."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)
+def first(hashes: np.ndarray) -> np.ndarray:
+    """Which shingles are asked for first."""
+    return hashes.view(np.uint64) % np.uint64(5) < 2
+
+
+def shared(docs: DataFrame, size: int, often: np.ndarray, some: bool) -> DataFrame:
+    """node, h and df (in how many texts, copies of a task told once) of the shingles that several nodes have, without hot ones. some: only
+    those that are asked for first."""
+    hot_ = docs.sparkSession.sparkContext.broadcast(often)
     met: set[int] = set()  # of a task: copies are told once
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -82,15 +94,28 @@ def common(docs: DataFrame, text: str, size: int, often: np.ndarray) -> DataFram
             s = of_text(t, size)
             if (n := node(s)) not in met:
                 met.add(n)
-                s = s[~inside(shared.value, s)]
+                s = s[~inside(hot_.value, s) & (first(s) if some else True)]
                 nodes.append(np.full(len(s), n))
                 hashes.append(s)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(hashes))], names=["node", "h"])
 
     own = Window.partitionBy("h")
-    found = map_texts(docs.select(F.col(text).alias("t")), "t", run, "node long, h long")
-    found = found.select("node", "h", F.count("*").over(own).alias("df"), F.min("node").over(own).alias("a"), F.max("node").over(own).alias("b")).filter("a <> b")
-    return found.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s")).select("node", F.col("s.h").alias("toks"))
+    found = map_texts(docs.select("t"), "t", run, "node long, h long")
+    return found.select("node", "h", F.count("*").over(own).alias("df"), F.min("node").over(own).alias("a"), F.max("node").over(own).alias("b")).filter("a <> b").select("node", "h", "df")
+
+
+def sets(docs: DataFrame, nodes: DataFrame, size: int, often: np.ndarray) -> DataFrame:
+    """node, n and toks (the shingles that other nodes have as well, the rarest first) of the nodes that may have a link. docs: th, t; nodes:
+    node, th, n, some, hot."""
+    of_some = shared(docs, size, often, True).groupBy("node").agg(F.countDistinct("h").alias("c"))
+    alone = F.col("some") - F.coalesce("c", F.lit(0))
+    may = written(nodes.join(of_some, "node", "left").filter(B * alone <= (B - A) * F.col("n")).select("node", "th", "n", "hot"))
+    # texts are shuffled only where there are too many to be broadcast
+    keys = may.select("th")
+    texts = docs.join(F.broadcast(keys) if may.count() <= FEW else keys, "th", "left_semi")
+    toks = shared(texts, size, often, False).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
+    every = F.concat(F.coalesce("s.h", F.array().cast("array<bigint>")), "hot")
+    return written(may.join(toks, "node", "left").select("node", "n", every.alias("toks")).filter(B * F.size("toks") >= A * F.col("n")))
 
 
 def linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -107,11 +132,10 @@ def entries(full: DataFrame) -> DataFrame:
     return rows.select("h", "node", "n", (F.floor((A + B) * (F.col("m") - F.col("k")) / A) - F.col("n")).alias("most"), ((F.col("n") - F.col("m")) / F.col("n")).alias("alone"))
 
 
-def links(nodes: DataFrame, shared: DataFrame, near: DataFrame) -> DataFrame:
-    """u, v with v the smallest node of u's component, for every u that isn't that itself. nodes: node, n, hot; shared: node, toks;
-    near: pairs node, with that are worth comparing first."""
-    none = F.array().cast("array<bigint>")
-    full = written(nodes.join(shared, "node", "left").select("node", "n", F.concat(F.coalesce("toks", none), "hot").alias("toks")).filter(B * F.size("toks") >= A * F.col("n")))
+def links(docs: DataFrame, nodes: DataFrame, near: DataFrame, size: int, often: np.ndarray) -> DataFrame:
+    """u, v with v the smallest node of u's component, for every u that isn't that itself. docs and nodes: as for `sets`; near: pairs node,
+    with that are worth comparing first."""
+    full = sets(docs, nodes, size, often)
     may = (F.col("node") != F.col("q.node")) & (F.col("n") <= F.col("q.most")) & (F.col("q.n") <= F.col("most"))
 
     every = entries(full)

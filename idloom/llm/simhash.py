@@ -39,8 +39,8 @@ SAMPLE, FIT, SHARD = 16_384, 4096, 4096
 ROUTED = 1 << 16
 #: Points that are compared directly.
 DIRECT = 192
-#: What a further copy of a point costs, in comparisons; and what share of them a split must save.
-COPY, SAVED = 24.0, 0.1
+#: What a split costs besides copies, as a share of the points; the largest share that one side of a split may have, and that of both together.
+EACH, MOST, COPIES = 0.005, 0.995, 1.5
 _BLOCK, _RANGE = 1 << 16, 1 << 30
 
 
@@ -82,19 +82,19 @@ def bits(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int64)
 
 
-def vantage(own: np.ndarray, visits: np.ndarray, radius: int, seed: int, scale: float = 1.0) -> tuple[np.uint64, int] | None:
-    """The vantage point and distance of the split that saves most comparisons, less what its copies cost; None if no split is worth
-    it. scale: how many points one of these stands for."""
-    best, found = (1 - SAVED) * (len(own) * (len(own) / 2 + len(visits))) * scale, None
-    m = np.arange(65)
+def vantage(own: np.ndarray, visits: np.ndarray, radius: int, seed: int) -> tuple[np.uint64, int] | None:
+    """The vantage point and distance of the split that parts the points, visits counted, with the fewest copies for what it tells them
+    apart; None if all splits copy too many or leave nearly all on one side."""
+    best, found, n, m = np.inf, None, len(own) + len(visits), np.arange(65)
+    low, high = np.maximum(m - radius + 1, 0), np.minimum(m + radius + 1, 65)
     for v in own[np.random.default_rng(seed).permutation(len(own))[:12]]:
         mine, others = (np.concatenate(([0], np.cumsum(np.bincount(bits(x, v), minlength=65)))) for x in (own, visits))
-        inside, low, high = mine[m + 1], np.maximum(m - radius + 1, 0), np.minimum(m + radius + 1, 65)
-        outside = len(own) - inside
-        border = inside - mine[low]
-        met = others[high], border + len(visits) - others[low]
-        cost = (inside * (inside / 2 + met[0]) + outside * (outside / 2 + met[1])) * scale + COPY * (met[0] + met[1] - len(visits))
-        cost[(inside == 0) | (outside == 0)] = np.inf
+        inside, outside = mine[m + 1] + others[high], n - mine[low] - others[low]
+        share = inside / (inside + outside)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            told = -share * np.log(share) - (1 - share) * np.log(1 - share)
+            cost = ((inside + outside - n) / n + EACH) / told
+        cost[(mine[m + 1] == 0) | (mine[m + 1] == len(own)) | (np.maximum(inside, outside) > MOST * n) | (inside + outside > COPIES * n)] = np.inf
         at = int(cost.argmin())
         if cost[at] < best:
             best, found = cost[at], (v, at)
@@ -108,7 +108,7 @@ def divided(own: np.ndarray, visits: np.ndarray, to: tuple, split: tuple, radius
     return (own[d <= m], visits[e - radius <= m]), (own[d > m], np.concatenate((own[(d <= m) & (d + radius > m)], visits[e + radius > m])))
 
 
-def grow(points: np.ndarray, visits: np.ndarray, target: int, radius: int = RADIUS, scale: float = 1.0) -> list[tuple]:
+def grow(points: np.ndarray, visits: np.ndarray, target: int, radius: int = RADIUS) -> list[tuple]:
     """The routing tree as rows (vantage point, m, inside, outside); a child below zero is shard -1 - child. visits: which points
     don't belong; target: points of a shard, visits counted."""
     nodes: list[list] = []
@@ -116,7 +116,7 @@ def grow(points: np.ndarray, visits: np.ndarray, target: int, radius: int = RADI
 
     def build(own: np.ndarray, seen: np.ndarray) -> int:
         nonlocal shards
-        split = vantage(points[own], points[seen], radius, len(nodes), scale) if len(own) > 1 and len(own) + len(seen) > target else None
+        split = vantage(points[own], points[seen], radius, len(nodes)) if len(own) > 1 and len(own) + len(seen) > target else None
         if split is None:
             shards += 1
             return -shards
@@ -192,7 +192,7 @@ def _first_level(nodes: DataFrame, radius: int) -> DataFrame:
     n = nodes.count()
     picked = nodes.filter(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(_RANGE)) < int(_RANGE * min(1, SAMPLE / max(1, n)))).select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
     scale = n / max(1, len(picked))
-    tree = grow(np.sort(picked), np.zeros(len(picked), bool), max(16, int(SHARD / scale)) if scale > 1 else SHARD, radius, max(1.0, scale))
+    tree = grow(np.sort(picked), np.zeros(len(picked), bool), max(16, int(SHARD / max(1.0, scale))), radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -216,7 +216,7 @@ def _next_level(large: DataFrame, level: int, radius: int) -> tuple[DataFrame, D
         points, visits, c = t["fp"].to_numpy().view(np.uint64), t["visits"].to_numpy(), t["c"][0].as_py()
         at = np.argsort(points, kind="stable")
         scale = max(1.0, c / len(points))
-        rows = grow(points[at], visits[at], max(16, int(SHARD / scale)), radius, scale)
+        rows = grow(points[at], visits[at], max(16, int(SHARD / scale)), radius)
         v, m, inside, outside = (np.array(x, k) for x, k in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64, np.int64), strict=True)) if rows else (np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64))
         return pa.table({"shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "at": np.arange(len(rows)), "v": v.view(np.int64), "m": m, "inside": inside, "outside": outside})
 
@@ -276,36 +276,40 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _sets(docs: DataFrame, often: np.ndarray, words: int) -> DataFrame:
-    """doc_id, node, n (number of shingles), fp and hot (shingles that are often met) of every row."""
+    """doc_id, th (hash of the text), node, n (number of shingles), some (of these, how many are asked for first), fp and hot (shingles that
+    are often met) of every row."""
     kind, shared = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, n, fp, hot, ends = [], [], [], [], [0]
+        node, n, some, fp, hot, ends = [], [], [], [], [], [0]
         for t in batch.column("t").to_pylist():
             every = jaccard.shingles(w := t.encode().lower().split() if t else [], words)
             own = np.unique(every).view(np.int64)
+            met = jaccard.inside(shared.value, own)
             node.append(jaccard.node(own))
             n.append(len(own))
+            some.append(int((jaccard.first(own) & ~met).sum()))
             fp.append(majority(set_bits(every), len(every)) if w else 0)
-            hot.append(own[jaccard.inside(shared.value, own)])
+            hot.append(own[met])
             ends.append(ends[-1] + len(hot[-1]))
         lists = pa.ListArray.from_arrays(np.array(ends, np.int32), pa.array(np.concatenate(hot)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), lists], names=["doc_id", "node", "n", "fp", "hot"])
+        numbers = [pa.array(x, pa.int64()) for x in (node, n, some)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *numbers, pa.array(np.array(fp, np.uint64).view(np.int64)), lists], names=["doc_id", "th", "node", "n", "some", "fp", "hot"])
 
-    return map_texts(docs, "t", run, f"doc_id {kind}, node long, n long, fp long, hot array<long>")
+    return map_texts(docs, "t", run, f"doc_id {kind}, th long, node long, n long, some long, fp long, hot array<long>")
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = jaccard.WORDS) -> DataFrame:
     """doc_id, component_id for every row: components of texts whose sets of shingles have a Jaccard similarity of 4 / 5 or more."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
     often = jaccard.hot(docs, "t", words)
     rows = written(_sets(docs, often, words))
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("hot").alias("hot")))
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "some", "fp", "hot")], F.min("th").alias("th")))
     lead = written(nodes.groupBy("fp").agg(F.min("node").alias("with")))
     same = nodes.join(lead, "fp").filter(F.col("node") != F.col("with")).select("node", "with")
     of = lambda end, name: lead.select(F.col("fp").alias(end), F.col("with").alias(name))
     tree = links(lead, radius).join(of("u", "node"), "u").join(of("v", "with"), "v").select("node", "with")
-    star = jaccard.links(nodes, jaccard.common(docs, "t", words, often), same.union(tree))
+    star = jaccard.links(docs, nodes, same.union(tree), words, often)
     return rows.select("doc_id", "node").join(least(star, nodes, "node"), "node").select("doc_id", "component_id")
 
 
