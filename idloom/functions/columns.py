@@ -15,13 +15,8 @@ from pyspark.sql import functions as F
 from idloom.operators import identifiers as ids
 
 SEGMENT = "struct<num: int, offset: int, segment: string, vendor: string, package: string, namespace: string, type: string, ver_major: bigint, ver_minor: bigint, is_type: boolean, is_wildcard: boolean, is_uuid_tail: boolean>"
-_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in ids.SPACE) + "]"
-
-
-_SMALL = "(?:0|[1-9][0-9]{0,14})"
-_PLAIN = rf"{ids.TOKEN}(?:\.{ids.TOKEN}){{3}}\.v{_SMALL}(?:\.{_SMALL})?"
-#: Most valid ids at one glance: those that it doesn't match are parsed to tell why, or because of large numbers or a star.
-_GLANCE = rf"\A{_SPACE}*gts\.~?(?:{_SPACE}*{_PLAIN}~)+(?:{_SPACE}*{_PLAIN}|{ids.UUID_TAIL})?{_SPACE}*\z"
+_SPACE = "[" + "".join(f"\\u{ord(c):04x}" for c in ids.SPACE) + "]"
+_EDGES = rf"\A{_SPACE}+|{_SPACE}+\z"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -30,7 +25,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{_SPACE}+", ""), f"{_SPACE}+\\z", "")
+    return F.regexp_replace(text, _EDGES, "")
 
 
 def utf16_length(text: Column) -> Column:
@@ -38,8 +33,24 @@ def utf16_length(text: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    value = F.when(text.rlike(rf"\A(?:{ids.NUMBER})\z") & (F.length(text) <= 16), text.try_cast("bigint"))
-    return let(value, lambda n: F.when(n <= 1 << 53, n))
+    return F.when(text.rlike(rf"\A{ids.VERSION}\z"), text.try_cast("bigint"))
+
+
+def _fits(text: Column, pattern: bool) -> Column:
+    """Whether a text is an identifier, or a pattern."""
+    short = (F.length(text) <= ids.MAX_LENGTH // 2) | (utf16_length(strip(text)) <= ids.MAX_LENGTH)
+    whole = text.rlike(_java(ids.WHOLE))
+    whole = whole | text.rlike(_java(ids.ONE)) if pattern else whole
+    return short & (whole | (text.contains("*") & text.rlike(_java(ids.STARRED)) & (text == F.lower(text))))
+
+
+def valid_or_null(text: Column) -> Column:
+    """Whether there is no error: as is_valid, but outer spaces before the prefix don't matter."""
+    return _fits(text, False)
+
+
+def _java(pattern: str) -> str:
+    return pattern.removesuffix(r"\Z") + r"\z"
 
 
 def _star_cause(text: Column) -> Column:
@@ -66,100 +77,84 @@ def _whole_cause(raw: Column) -> Column:
 
 
 def _parts(raw: Column) -> Column:
-    """Parts with their number, offset and whether they are a UUID tail."""
-    rest = F.substr(raw, F.lit(len(ids.PREFIX) + 1))
-    found = F.filter(F.regexp_extract_all(rest, F.lit("[^~]*~|[^~]+"), F.lit(0)), lambda p: p != "~")
+    """Parts with their number, offset, whether they are a UUID tail, text without outer spaces, and tokens."""
+    found = F.filter(F.regexp_extract_all(F.substr(raw, F.lit(len(ids.PREFIX) + 1)), F.lit("[^~]*~|[^~]+"), F.lit(0)), lambda p: p != "~")
 
     def numbered(texts: Column) -> Column:
         def part(p: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(texts, F.lit(1), i), F.lit(len(ids.PREFIX)), lambda n, q: n + F.length(q))
+            before = F.length(F.array_join(F.slice(texts, F.lit(1), i), "")) + len(ids.PREFIX)
             tail = (i > 0) & (i == F.size(texts) - 1) & p.rlike(rf"\A{ids.UUID_TAIL}\z")
-            return F.struct((i + 1).alias("num"), before.alias("offset"), p.alias("part"), tail.alias("tail"))
+            tokens = F.split(F.regexp_replace(strip(p), r"~\z", ""), r"\.", -1)
+            return F.struct((i + 1).alias("num"), before.alias("offset"), p.alias("part"), tail.alias("tail"), strip(p).alias("text"), tokens.alias("tokens"))
 
         return F.transform(texts, part)
 
     return let(found, numbered)
 
 
-def _split(text: Column) -> Column:
-    """A segment's text with its tokens, and how many they are before a star."""
-    tokens = F.split(F.regexp_replace(text, r"~\z", ""), r"\.", -1)
-    return let(F.struct(text.alias("text"), tokens.alias("tokens")), lambda x: F.struct(x["text"].alias("text"), x["tokens"].alias("tokens"), (F.get(x["tokens"], F.size(x["tokens"]) - 1) == "*").alias("star")))
-
-
 def _segment(p: Column) -> Column:
     """The segment of a part."""
+    tokens = p["tokens"]
+    star = F.element_at(tokens, -1) == "*"
+    named = lambda i: F.when(~p["tail"] & (F.size(tokens) - star.cast("int") > i), F.get(tokens, F.lit(i)))
+    return F.struct(
+        p["num"].cast("int").alias("num"),
+        p["offset"].cast("int").alias("offset"),
+        p["text"].alias("segment"),
+        *[F.coalesce(named(i), F.lit("")).alias(field) for i, field in enumerate(ids.NAMES)],
+        F.coalesce(F.substr(named(4), F.lit(2)).try_cast("bigint"), F.lit(0)).cast("bigint").alias("ver_major"),
+        named(5).try_cast("bigint").alias("ver_minor"),
+        p["text"].endswith("~").alias("is_type"),
+        (star & ~p["tail"]).alias("is_wildcard"),
+        p["tail"].alias("is_uuid_tail"),
+    )
+
 
-    def of(x: Column) -> Column:
-        n = F.when(p["tail"], 0).otherwise(F.size(x["tokens"]) - x["star"].cast("int"))
-        name = lambda i: F.when(n > i, F.get(x["tokens"], F.lit(i))).otherwise("")
-        return F.struct(
-            p["num"].cast("int").alias("num"),
-            p["offset"].cast("int").alias("offset"),
-            x["text"].alias("segment"),
-            *[name(i).alias(field) for i, field in enumerate(ids.NAMES)],
-            F.coalesce(F.when(n > 4, _number(F.substr(F.get(x["tokens"], F.lit(4)), F.lit(2)))), F.lit(0)).cast("bigint").alias("ver_major"),
-            F.when(n > 5, _number(F.get(x["tokens"], F.lit(5)))).alias("ver_minor"),
-            x["text"].endswith("~").alias("is_type"),
-            (x["star"] & ~p["tail"]).alias("is_wildcard"),
-            p["tail"].alias("is_uuid_tail"),
-        )
-
-    return let(_split(strip(p["part"])), of)
-
-
-def _segment_cause(part: Column) -> Column:
-    def of(x: Column) -> Column:
-        tokens, star, size = x["tokens"], x["star"], F.size(x["tokens"])
-        bad = F.get(F.filter(F.slice(tokens, 1, 4), lambda t: ~t.rlike(rf"\A{ids.TOKEN}\z")), F.lit(0))
-        n = size - star.cast("int")
-        fifth = F.get(tokens, F.lit(4))
-        return (
-            F.when(x["text"].isin("", "~"), ids.EMPTY_SEGMENT)
-            .when(F.exists(tokens, lambda t: t == ""), ids.EMPTY_TOKEN)
-            .when(size > 6, ids.TOO_MANY)
-            .when(~star & (size < 5), ids.TOO_FEW)
-            .when(~star & bad.isNotNull(), F.concat(F.lit(ids.BAD_TOKEN), bad))
-            .when((n > 4) & ~fifth.startswith("v"), ids.MAJOR_V)
-            .when((n > 4) & _number(F.substr(fifth, F.lit(2))).isNull(), ids.MAJOR_INT)
-            .when((n > 5) & _number(F.get(tokens, F.lit(5))).isNull(), ids.MINOR_INT)
-        )
-
-    return let(_split(strip(part)), of)
+def _segment_cause(p: Column) -> Column:
+    tokens, size, fifth = p["tokens"], F.size(p["tokens"]), F.get(p["tokens"], F.lit(4))
+    star = F.element_at(tokens, -1) == "*"
+    bad = F.filter(F.slice(tokens, 1, 4), lambda t: ~t.rlike(rf"\A{ids.TOKEN}\z"))
+    n = size - star.cast("int")
+    return (
+        F.when(p["text"].isin("", "~"), ids.EMPTY_SEGMENT)
+        .when(F.array_contains(tokens, ""), ids.EMPTY_TOKEN)
+        .when(size > 6, ids.TOO_MANY)
+        .when(~star & (size < 5), ids.TOO_FEW)
+        .when(~star & (F.size(bad) > 0), F.concat(F.lit(ids.BAD_TOKEN), F.get(bad, F.lit(0))))
+        .when((n > 4) & ~fifth.startswith("v"), ids.MAJOR_V)
+        .when((n > 4) & _number(F.substr(fifth, F.lit(2))).isNull(), ids.MAJOR_INT)
+        .when((n > 5) & _number(F.get(tokens, F.lit(5))).isNull(), ids.MINOR_INT)
+    )
 
 
 def _part_error(p: Column, shown: Column) -> Column:
-    told = F.concat(F.lit(ids.SEGMENT_ERROR), p["num"], F.lit(" @ offset "), p["offset"], F.lit(": '"), p["part"], F.lit("': "), _segment_cause(p["part"]))
+    told = F.concat(F.lit(ids.SEGMENT_ERROR), p["num"], F.lit(" @ offset "), p["offset"], F.lit(": '"), p["part"], F.lit("': "), _segment_cause(p))
     return F.when(p["tail"], F.lit(None)).when(p["part"].contains("-"), F.concat(F.lit(ids.ID_ERROR), shown, F.lit(f": {ids.HYPHEN}"))).otherwise(told)
 
 
 def segments(text: Column) -> Column:
     """The segments of a text, right if its error is null."""
-    return let(strip(text), lambda raw: F.transform(_parts(raw), _segment))
+    return F.transform(_parts(strip(text)), _segment)
 
 
 def error(text: Column, pattern: bool = False) -> Column:
     """Why a text is no identifier (or pattern); null if it is one."""
+    raw = strip(text)
+    starred = F.lit(True) if pattern else text.contains("*")
+    shown = F.when(starred, raw).otherwise(text)
+    whole = lambda cause, quoted: F.concat(F.lit(ids.ID_ERROR), quoted, F.lit(": "), cause)
 
-    def of(x: Column) -> Column:
-        text, raw = x["text"], x["raw"]
-        starred = F.lit(True) if pattern else text.contains("*")
-        shown = F.when(starred, raw).otherwise(text)
-        whole = lambda cause, quoted: F.concat(F.lit(ids.ID_ERROR), quoted, F.lit(": "), cause)
-
-        def of_parts(parts: Column) -> Column:
-            first = F.get(F.filter(F.transform(parts, lambda p: _part_error(p, shown)), lambda e: e.isNotNull()), F.lit(0))
-            single = ~starred & (F.size(parts) == 1) & ~raw.endswith("~")
-            return F.coalesce(first, F.when(F.size(parts) == 0, whole(F.lit(ids.NO_SEGMENTS), shown)), F.when(single, whole(F.lit(ids.SINGLE), shown)))
-
-        return F.coalesce(F.when(starred, whole(_star_cause(raw), text)), whole(_whole_cause(raw), shown), let(_parts(raw), of_parts))
+    def of_parts(parts: Column) -> Column:
+        first = F.get(F.filter(F.transform(parts, lambda p: _part_error(p, shown)), lambda e: e.isNotNull()), F.lit(0))
+        single = ~starred & (F.size(parts) == 1) & ~raw.endswith("~")
+        return F.coalesce(first, F.when(F.size(parts) == 0, whole(F.lit(ids.NO_SEGMENTS), shown)), F.when(single, whole(F.lit(ids.SINGLE), shown)))
 
-    parsed = let(F.struct(text.alias("text"), strip(text).alias("raw")), of)
-    return parsed if pattern else F.when((F.length(text) <= ids.MAX_LENGTH) & text.rlike(_GLANCE), F.lit(None)).otherwise(parsed)
+    told = F.coalesce(F.when(starred, whole(_star_cause(raw), text)), whole(_whole_cause(raw), shown), let(_parts(raw), of_parts))
+    return F.when(text.isNull() | _fits(text, pattern), F.lit(None)).otherwise(told)
 
 
 def is_valid(text: Column) -> Column:
-    return F.coalesce(text.startswith(ids.PREFIX) & error(text).isNull(), F.lit(False))
+    return F.coalesce(text.startswith(ids.PREFIX) & _fits(text, False), F.lit(False))
 
 
 def validation(text: Column) -> Column:

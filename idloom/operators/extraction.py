@@ -5,8 +5,6 @@ Column expressions over a VARIANT; `extract` is the same in Python for document
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,11 +34,6 @@ def kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def text_field(v: Column, key: str) -> Column:
-    """The field's value if it is a string, else null."""
-    return columns.let(field(v, key), lambda x: F.when(kind(x) == "STRING", x.try_cast("string")))
-
-
 def plain(text: Column) -> Column:
     """Without outer white space and the URI prefix; null if nothing is left."""
     return F.nullif(F.regexp_replace(columns.strip(text), f"^{ids.URI_PREFIX}", ""), F.lit(""))
@@ -48,8 +41,9 @@ def plain(text: Column) -> Column:
 
 def _texts(v: Column, names: tuple[str, ...]) -> Column:
     """Names and plain texts of the fields that have one, in order."""
-    every = F.array(*[F.struct(F.lit(n).alias("field"), plain(text_field(v, n)).alias("value")) for n in names])
-    return F.filter(every, lambda x: x["value"].isNotNull())
+    every = F.array(*[F.struct(F.lit(n).alias("field"), field(v, n).alias("v")) for n in names])
+    texts = F.transform(F.filter(every, lambda x: kind(x["v"]) == "STRING"), lambda x: F.struct(x["field"].alias("field"), plain(x["v"].try_cast("string")).alias("value")))
+    return F.filter(texts, lambda x: x["value"].isNotNull())
 
 
 def _first(found: Column) -> Column:
@@ -60,8 +54,8 @@ def _is_schema(v: Column) -> Column:
     """By the first of the two schema fields that isn't empty, zero, false or null."""
     true = lambda x: x.isNotNull() & (kind(x) != "VOID") & ~F.coalesce(x.try_cast("string").isin("", "0", "false"), F.lit(False))
     stated = F.get(F.filter(F.array(field(v, "$schema"), field(v, "$$schema")), true), F.lit(0))
-    told = lambda t: F.coalesce(t.contains(META) | t.startswith(ids.URI_PREFIX) | t.startswith(ids.PREFIX), F.lit(False))
-    return columns.let(columns.let(stated, lambda x: F.when(kind(x) == "STRING", x.try_cast("string"))), told)
+    text = F.when(kind(stated) == "STRING", stated.try_cast("string"))
+    return F.coalesce(text.rlike(rf"{META.replace('.', '[.]')}|\A(?:{ids.URI_PREFIX}|gts[.])"), F.lit(False))
 
 
 def extracted(content: Column, schema_content: Column | None = None) -> Column:
@@ -70,16 +64,13 @@ def extracted(content: Column, schema_content: Column | None = None) -> Column:
     def of(x: Column) -> Column:
         entity, is_schema = x["entity"], x["is_schema"]
         own = entity["value"]
-        after = F.substr(own, F.instr(own, "~") + 1)
-        chained = (F.instr(own, "~") > 0) & (F.regexp_replace(after, r"~\z", "") != "") & columns.is_valid(own)
-        typed = own.endswith("~")
-        head = F.regexp_extract(own, r"(?s)\A(.*~)[^~]+~?\z", 1)
-        from_own = F.when(chained, F.struct(entity["field"].alias("field"), head.alias("value")))
+        chained = (F.instr(own, "~") > 0) & (F.regexp_replace(F.substr(own, F.instr(own, "~") + 1), r"~\z", "") != "") & columns.is_valid(own)
+        head = F.when(chained, F.struct(entity["field"].alias("field"), F.regexp_extract(own, r"(?s)\A(.*~)[^~]+~?\z", 1).alias("value")))
         stated = _first(F.filter(x["named"], lambda f: f["field"].isin(*SCHEMA_FIELDS[:2])))
         valid = _first(F.filter(x["named"], lambda f: columns.is_valid(f["value"])))
         by_dollar = F.coalesce(entity["field"].isin(*_OWN), F.lit(False))
-        instance = lambda head: F.coalesce(F.when(~by_dollar & ~typed, head), F.when(~by_dollar, valid), F.when(~typed, head))
-        schema = columns.let(from_own, lambda head: F.when(is_schema, F.coalesce(head, stated)).otherwise(instance(head)))
+        # a schema's is that of its chain or what it states; an instance's, that of its chain (if it is no type) or the first valid one named
+        schema = F.when(is_schema, F.coalesce(head, stated)).otherwise(F.coalesce(F.when(~own.endswith("~"), head), F.when(~by_dollar, valid)))
         return F.struct(F.coalesce(own, F.lit("")).alias("id"), schema.alias("schema"), entity["field"].alias("selected_entity_field"), is_schema.alias("is_schema"))
 
     def final(x: Column) -> Column:
@@ -94,39 +85,29 @@ def extracted(content: Column, schema_content: Column | None = None) -> Column:
 
 def js_string(x: Column, depth: int = 3) -> Column:
     """A variant as text, as string concatenation in JSON's home language shows it; null and missing: empty."""
-
-    def number(d: Column) -> Column:
-        size = F.abs(d)
-        digits = F.regexp_replace(F.regexp_replace(d.try_cast("decimal(38,17)").cast("string"), "0+$", ""), r"\.$", "")
-        whole = (d == F.floor(d)) & (size < 1e18)
-        return F.when(whole, F.floor(d).cast("bigint").cast("string")).when((size >= 1e-6) & (size < 1e18), digits).otherwise(F.lower(F.regexp_replace(d.cast("string"), r"(?:\.0)?E(\d)", "e+$1")))
-
-    def of(x: Column) -> Column:
-        k = kind(x)
-        items = F.array_join(F.transform(x.try_cast("array<variant>"), lambda y: js_string(y, depth - 1)), ",") if depth else F.lit("")
-        return F.coalesce(F.when(k.isin("STRING", "BOOLEAN"), x.try_cast("string")).when(k.startswith("ARRAY"), items).when(k.startswith("OBJECT"), "[object Object]").when(k == "VOID", "").otherwise(columns.let(x.try_cast("double"), number)), F.lit(""))
-
-    return columns.let(x, of)
-
-
-def _all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+    k, d = kind(x), x.try_cast("double")
+    size = F.abs(d)
+    digits = F.regexp_replace(d.try_cast("decimal(38,17)").cast("string"), r"\.?0+$", "")
+    number = F.when((d == F.floor(d)) & (size < 1e18), F.floor(d).cast("bigint").cast("string")).when((size >= 1e-6) & (size < 1e18), digits).otherwise(F.lower(F.regexp_replace(d.cast("string"), r"(?:\.0)?E(\d)", "e+$1")))
+    items = F.array_join(F.transform(x.try_cast("array<variant>"), lambda y: js_string(y, depth - 1)), ",") if depth else F.lit("")
+    return F.coalesce(F.when(k.isin("STRING", "BOOLEAN"), x.try_cast("string")).when(k.startswith("ARRAY"), items).when(k.startswith("OBJECT"), "[object Object]").when(k == "VOID", "").otherwise(number), F.lit(""))
 
 
 def filters_match(content: Column, filters: dict[str, str]) -> Column:
     """Whether top-level fields equal the texts; `*` asks for any value that isn't empty."""
     if not filters:
         return F.lit(True)
+    none = F.lit(None)
 
     def of(v: Column) -> Column:
-        out = [F.coalesce(kind(v).startswith("OBJECT") | kind(v).startswith("ARRAY"), F.lit(False))]
+        rows = []
         for key, want in filters.items():
-            if "'" in key and '"' in key:  # no path can name such a key
-                have = F.coalesce(F.get(F.from_json(content, "map<string,string>"), F.lit(key)), F.lit(""))
-            else:
-                have = js_string(field(v, key))
-            out.append(~have.isin("", "null", "undefined") if want == "*" else have == want)
-        return _all(out)
+            unnamed = "'" in key and '"' in key  # no path can name such a key
+            text = F.coalesce(F.get(F.from_json(content, "map<string,string>"), F.lit(key)), F.lit("")) if unnamed else none.cast("string")
+            rows.append(F.struct(F.lit(want).alias("want"), (none.cast("variant") if unnamed else field(v, key)).alias("v"), text.alias("text")))
+        fits = lambda f: columns.let(F.coalesce(f["text"], js_string(f["v"])), lambda have: F.when(f["want"] == "*", ~have.isin("", "null", "undefined")).otherwise(have == f["want"]))
+        whole = F.coalesce(kind(v).startswith("OBJECT") | kind(v).startswith("ARRAY"), F.lit(False))
+        return whole & F.forall(F.array(*rows), fits)
 
     return columns.let(variant(content), of)
 

@@ -43,7 +43,33 @@ MAJOR_V = "Major version must start with 'v'"
 MAJOR_INT = "Major version must be an integer"
 MINOR_INT = "Minor version must be an integer"
 
+#: The largest version: integers up to it are held by doubles.
+MOST = 1 << 53
+
+
+def _at_most(most: int) -> str:
+    """A pattern of the integers from 0 to a number, without leading zeros."""
+    digits = str(most)
+    n = len(digits)
+    below = [f"{digits[:i]}[{int(i == 0)}-{int(d) - 1}][0-9]{{{n - i - 1}}}" for i, d in enumerate(digits) if int(d) > int(i == 0)]
+    return "(?:" + "|".join(["0", f"[1-9][0-9]{{0,{n - 2}}}", *below, digits]) + ")"
+
+
+# Whole identifiers and patterns as regular expressions that Python and the JVM read alike; what they don't match is parsed to tell why.
+VERSION = _at_most(MOST)
+_SP = "[" + "".join(f"\\u{ord(c):04x}" for c in SPACE) + "]*"
+_PLAIN = rf"{TOKEN}(?:\.{TOKEN}){{3}}\.v{VERSION}(?:\.{VERSION})?"
+_FREE = r"[^.~*\-]+\."
+_STARTED = rf"\A{_SP}gts\.~?(?:{_SP}{_PLAIN}~)"
+#: An identifier without a star.
+WHOLE = rf"{_STARTED}+(?:{_SP}{_PLAIN}|{UUID_TAIL})?{_SP}\Z"
+#: A pattern of one instance segment.
+ONE = rf"\A{_SP}gts\.~?{_SP}{_PLAIN}{_SP}\Z"
+#: With a star; upper case is left to another test, as names before a star aren't looked at.
+STARRED = rf"{_STARTED}*(?:{_SP}(?!{_SP[:-1]})(?:(?:{_FREE}){{1,4}}|(?:{_FREE}){{4}}v{VERSION}\.))?\*{_SP}\Z"
+
 _uuid, _token, _number = (re.compile(p) for p in (UUID_TAIL, TOKEN, NUMBER))
+_whole = re.compile(WHOLE)
 NAMES = ("vendor", "package", "namespace", "type")
 
 
@@ -73,7 +99,7 @@ def strip(text: str) -> str:
 
 def number(text: str) -> int | None:
     """Integers that print as they are written and that doubles hold."""
-    return int(text) if _number.fullmatch(text) and len(text) <= 16 and int(text) <= 1 << 53 else None
+    return int(text) if _number.fullmatch(text) and len(text) <= 16 and int(text) <= MOST else None
 
 
 def _segment(num: int, offset: int, part: str) -> Segment:
@@ -163,7 +189,9 @@ def error(text: str, pattern: bool = False) -> str | None:
 
 
 def is_valid(text: object) -> bool:
-    return isinstance(text, str) and text.startswith(PREFIX) and error(text) is None
+    if not isinstance(text, str) or not text.startswith(PREFIX):
+        return False
+    return len(text) <= MAX_LENGTH and bool(_whole.match(text)) or error(text) is None
 
 
 def fits(p: Segment, c: Segment) -> bool:

@@ -43,7 +43,7 @@ def load(text: str | None) -> object:
     """Parsed JSON, shared between rows; not to be changed. Later duplicates of a key win."""
     try:
         return _LOADED(text) if text is not None else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -88,10 +88,12 @@ class Registry:
     def of(cls, docs: DataFrame, content: str = "content", seq: str = "seq", keep: bool = True) -> Registry:
         """Registers documents in the order of seq. keep: writes the registry once; else every use extracts and parses anew."""
         found = docs.select(F.col(seq).alias("seq"), F.col(content).alias("content"), extracted(F.col(content)).alias("x"))
+        found = found.select("seq", "content", "x", F.when(columns.valid_or_null(F.col("x.id")), columns.segments(F.col("x.id"))).alias("segments"))
+        # equal ids have equal segments; as results of the aggregation they are parsed once, however often conditions name them
         last = F.max_by(F.struct("content", "x.schema_id", "x.is_schema"), "seq").alias("last")
-        kept = found.groupBy(F.col("x.id").alias("id")).agg(F.min("seq").alias("ord"), last).select("id", "ord", "last.content", "last.schema_id", "last.is_schema")
-        parsed = kept.withColumn("segments", F.when(columns.error(F.col("id")).isNull(), columns.segments(F.col("id"))))
-        registry = cls(parsed.withColumns({_first(n): F.get("segments", F.lit(0))[n] for n in FIRST}))
+        kept = found.groupBy(F.col("x.id").alias("id")).agg(F.min("seq").alias("ord"), last, F.first("segments").alias("segments"))
+        kept = kept.select("id", "ord", "last.content", "last.schema_id", "last.is_schema", "segments")
+        registry = cls(kept.withColumns({_first(n): F.get("segments", F.lit(0))[n] for n in FIRST}))
         return registry.kept() if keep else registry
 
     def save(self, path: str) -> None:
@@ -263,11 +265,12 @@ class Registry:
             e = documents.instance_error(row["id"], _entity(row["entity"]), _finder(row["env"]), present.__contains__)
             return [{"id": row["id"], "ok": e is None, "valid": e is None, "error": e or ""}]
 
-        return per_row(self._instances(wanted), check, "id string, ok boolean, valid boolean, error string")
+        failed = lambda row, e: {"id": row["id"], "ok": False, "valid": False, "error": e}
+        return per_row(self._instances(wanted), check, "id string, ok boolean, valid boolean, error string", failed)
 
     def _schemas(self, wanted: DataFrame, check: Callable[[str, Entity | None, documents.Find], str | None]) -> DataFrame:
         asked = wanted.select("id").distinct()
-        chain = F.when(columns.error(F.col("id")).isNull(), columns.let(columns.segments(F.col("id")), lambda s: F.transform(F.sequence(F.lit(1), F.size(s)), lambda n: F.concat(F.lit(ids.PREFIX), F.array_join(F.transform(F.slice(s, F.lit(1), n), lambda x: x["segment"]), "")))))
+        chain = F.when(columns.valid_or_null(F.col("id")), columns.let(columns.segments(F.col("id")), lambda s: F.transform(F.sequence(F.lit(1), F.size(s)), lambda n: F.concat(F.lit(ids.PREFIX), F.array_join(F.transform(F.slice(s, F.lit(1), n), lambda x: x["segment"]), "")))))
         roots = asked.select(F.col("id").alias("key"), F.explode(F.array_union(F.array("id"), F.coalesce(chain, F.array().cast("array<string>")))).alias("id"))
 
         def run(row: dict) -> list[dict]:
@@ -275,7 +278,8 @@ class Registry:
             e = check(row["key"], find(row["key"]), find)
             return [{"id": row["key"], "ok": e is None, "error": e or ""}]
 
-        return per_row(self._with_env(asked.select(F.col("id").alias("key")), roots), run, "id string, ok boolean, error string")
+        failed = lambda row, e: {"id": row["key"], "ok": False, "error": e}
+        return per_row(self._with_env(asked.select(F.col("id").alias("key")), roots), run, "id string, ok boolean, error string", failed)
 
     def validate_schemas(self, wanted: DataFrame) -> DataFrame:
         """id, ok, error: schemas against their parents and the traits of their chains."""
@@ -304,7 +308,8 @@ class Registry:
 
     def compatibility(self, pairs: DataFrame, flavor: str = "library") -> DataFrame:
         """A result for each pair of old and new."""
-        return per_row(self._pairs(pairs, "old", "new"), lambda r: [compatibility.check(r["a"], r["b"], _finder(r["env"]), flavor)], COMPATIBILITY)
+        failed = lambda r, e: compatibility.result(r["a"], r["b"], "unknown", [e], [e], [e], False)
+        return per_row(self._pairs(pairs, "old", "new"), lambda r: [compatibility.check(r["a"], r["b"], _finder(r["env"]), flavor)], COMPATIBILITY, failed)
 
     def cast(self, pairs: DataFrame, flavor: str = "library") -> DataFrame:
         """A result for each pair of id and to; documents as JSON."""
@@ -317,7 +322,7 @@ class Registry:
                     out[k] = dumps(out[k])
             return [out]
 
-        return per_row(self._pairs(pairs, "id", "to"), run, CASTS[flavor])
+        return per_row(self._pairs(pairs, "id", "to"), run, CASTS[flavor], lambda r, e: casting.failure(r["a"], r["b"], e, flavor))
 
 
 def linted(docs: DataFrame, content: str = "content") -> DataFrame:
@@ -328,7 +333,7 @@ def linted(docs: DataFrame, content: str = "content") -> DataFrame:
         doc = load(row[content])
         return [row | {"lint": documents.schema_lint(doc) if extract(doc)[2] else None}]
 
-    return per_row(docs, check, f"{fields}, lint string")
+    return per_row(docs, check, f"{fields}, lint string", lambda row, e: row | {"lint": e})
 
 
 def ingested(docs: DataFrame, validate: bool = False, content: str = "content") -> DataFrame:
@@ -349,4 +354,4 @@ def ingested(docs: DataFrame, validate: bool = False, content: str = "content")
             status, reason = 422, f"x-gts-ref validation failed: {'; '.join(errors)}"
         return [row | {"status": status, "reason": reason}]
 
-    return per_row(docs, check, f"{fields}, status int, reason string")
+    return per_row(docs, check, f"{fields}, status int, reason string", lambda row, e: row | {"status": 422, "reason": e})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -75,12 +76,26 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def per_row(df: DataFrame, fn: Callable[[dict], Iterator[dict] | list[dict]], schema: str) -> DataFrame:
-    """The rows that fn gives for each row."""
+#: Calls of functions within one another in a task; documents are nested up to a thousand deep, in Python without using up the stack.
+CALLS = 50_000
+
+
+def per_row(df: DataFrame, fn: Callable[[dict], Iterator[dict] | list[dict]], schema: str, failed: Callable[[dict, str], dict] | None = None) -> DataFrame:
+    """The rows that fn gives for each row. failed: the row that stands for a document on which fn fails, given the reason; no
+    document ends the job."""
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
+    def rows(row: dict) -> list[dict]:
+        try:
+            return list(fn(row))
+        except Exception as e:
+            if failed is None:
+                raise
+            return [failed(row, f"{type(e).__name__}: {e}")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(CALLS)
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([out for row in batch.to_pylist() for out in fn(row)], schema=arrow)
+            yield pa.RecordBatch.from_pylist([out for row in batch.to_pylist() for out in rows(row)], schema=arrow)
 
     return df.mapInArrow(run, schema)

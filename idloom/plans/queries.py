@@ -43,7 +43,8 @@ def orders(spark: SparkSession, sf_dir: str, **made: str) -> DataFrame:
 
 
 def order_registry(spark: SparkSession, sf_dir: str, doc: str = ORDER_DOC) -> Registry:
-    return Registry.of(orders(spark, sf_dir, content=doc), seq="o_orderkey")
+    """Used once by a query, so not written."""
+    return Registry.of(orders(spark, sf_dir, content=doc), seq="o_orderkey", keep=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,7 +166,7 @@ SELECT id, min(c_custkey) AS ord, arg_max(content, c_custkey) AS content FROM (
   SELECT c_custkey, {CUSTOMER_ID} AS id, '{{"gtsId":"' || {CUSTOMER_ID} || '","n":' || {S('c_custkey')} || '}}' AS content FROM customer) GROUP BY id""")
 def last_write_wins(spark, sf_dir):
     docs = table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"""'{{"gtsId":"' || {CUSTOMER_ID} || '","n":' || {S('c_custkey')} || '}}'""").alias("content"))
-    return Registry.of(docs, seq="c_custkey").entities.select("id", "ord", "content")
+    return Registry.of(docs, seq="c_custkey", keep=False).entities.select("id", "ord", "content")
 
 
 @query(f"SELECT {ORDER_ID} AS id, o_orderkey AS ord FROM orders ORDER BY o_orderkey LIMIT 100")
