@@ -137,17 +137,24 @@ class Registry:
         return ordered if limit is None or limit != limit else ordered.limit(max(0, int(limit)))
 
     def query_result(self, text: str, limit: float | None = LIMIT) -> dict:
-        """query, count, items, limit, error."""
+        """query, count, items, limit, error. The items come to the driver, so a limit is needed."""
+        if limit is None or limit != limit:
+            raise ValueError("a result of unbounded size; use query for a DataFrame")
         items = [r["content"] for r in self.query(text, limit).collect()]
         return {"query": text, "count": len(items), "items": items, "limit": limit, "error": parse_query(text).error}
 
+    def query_response(self, text: str, limit: float = LIMIT) -> dict:
+        """error (empty if there is none), count, limit, results."""
+        found = self.query_result(text, limit)
+        return {"error": found["error"] or "", "count": found["count"], "limit": limit, "results": found["items"]}
+
     def query_ids(self, pattern: str, limit: int | None = None) -> DataFrame:
         found = self.entities.filter(pattern_condition(pattern, F.col("segments"), lambda n: F.col(_first(n)))).select("id", "ord").orderBy("ord")
         return found if limit is None else found.limit(limit)
 
     def query_bool(self, condition_: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
         """An extension: conditions combined with &, | and ~, e.g. lambda q: q('a.*') & ~q('b.*')."""
-        one = lambda text: condition(parse_query(text), F.col("segments"), F.col("content"))
+        one = lambda text: condition(parse_query(text), F.col("segments"), F.col("content"), lambda n: F.col(_first(n)))
         return self.entities.filter(condition_(one)).select("id", "ord", "content").orderBy("ord")
 
     def attributes(self, wanted: DataFrame) -> DataFrame:
@@ -163,9 +170,14 @@ class Registry:
         there = self.entities.select("id", "content", F.lit(True).alias("there"))
         return per_row(wanted.select("id", "path").join(there, "id", "left"), value, "id string, path string, resolved boolean, value string, error string")
 
-    def attributes_at(self, wanted: DataFrame) -> DataFrame:
-        """As attributes, for rows of `at`, an id and a path with @ between; path is all of `at` if there is none."""
+    def attributes_at(self, wanted: DataFrame, strict: bool = False) -> DataFrame:
+        """As attributes, for rows of `at`, an id and a path with @ between; path is all of `at` if there is none. strict: what hasn't
+        exactly two parts is an id with an empty path, which stands for the whole document."""
         at = F.instr("at", "@")
+        if strict:
+            parts = F.split("at", "@", -1)
+            two = F.size(parts) == 2
+            return self.attributes(wanted.select(F.when(two, parts[0]).otherwise(F.col("at")).alias("id"), F.when(two, F.get(parts, F.lit(1))).otherwise("").alias("path")))
         good = wanted.filter(at > 0).select(F.expr("left(at, instr(at, '@') - 1)").alias("id"), F.expr("substr(at, instr(at, '@') + 1)").alias("path"))
         bad = wanted.filter(at == 0).select(F.lit(None).cast("string").alias("id"), F.col("at").alias("path"), F.lit(False).alias("resolved"), F.lit(None).cast("string").alias("value"), F.lit(NO_AT).alias("error"))
         return self.attributes(good).unionByName(bad)

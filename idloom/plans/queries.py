@@ -85,12 +85,13 @@ WITH d AS (SELECT o_orderkey, {DIRTY_ID} AS id FROM orders), e AS (
     WHEN contains(id, '*') AND NOT ends_with(id, '*') THEN '{ids.STAR_END.replace("'", "''")}'
     WHEN id <> lower(id) THEN '{ids.LOWER}' WHEN NOT starts_with(trim(id), 'gts.') THEN '{ids.NO_PREFIX.replace("'", "''")}'
     WHEN length(trim(id)) > 1024 THEN '{ids.TOO_LONG}' WHEN contains(id, '..') THEN '{ids.DOUBLE_DOT}'
-    WHEN ends_with(id, '.') THEN '{ids.END_DOT}' WHEN contains(id, '~~') THEN '{ids.DOUBLE_TILDE}' END AS cause FROM d)
-SELECT o_orderkey, 'Invalid GTS identifier: ' || id || ': ' || cause AS error FROM e WHERE cause IS NOT NULL""")
+    WHEN ends_with(id, '.') THEN '{ids.END_DOT}' WHEN contains(id, '~~') THEN '{ids.DOUBLE_TILDE}'
+    WHEN o_orderkey % 18 = 1 THEN '{ids.HYPHEN.replace("'", "''")}' WHEN o_orderkey % 18 = 7 THEN '{ids.SINGLE}' END AS cause,
+    CASE o_orderkey % 18 WHEN 2 THEN '{ids.TOO_FEW}' WHEN 3 THEN '{ids.MINOR_INT}' END AS inner_cause FROM d)
+SELECT o_orderkey, CASE WHEN cause IS NOT NULL THEN 'Invalid GTS identifier: ' || id || ': ' || cause ELSE 'Invalid GTS segment #1 @ offset 4: ''' || substr(id, 5) || ''': ' || inner_cause END AS error
+FROM e WHERE cause IS NOT NULL OR inner_cause IS NOT NULL""")
 def validate_errors(spark, sf_dir):
-    found = orders(spark, sf_dir, id=DIRTY_ID).withColumn("error", columns.error(F.col("id")))
-    causes = (ids.ONE_STAR, ids.STAR_END, ids.LOWER, ids.NO_PREFIX, ids.TOO_LONG, ids.DOUBLE_DOT, ids.END_DOT, ids.DOUBLE_TILDE)
-    return found.filter(F.exists(F.array(*map(F.lit, causes)), lambda c: F.col("error").endswith(c))).select("o_orderkey", "error")
+    return orders(spark, sf_dir, id=DIRTY_ID).select("o_orderkey", columns.error(F.col("id")).alias("error")).filter("error is not null")
 
 
 @query(f"""
@@ -265,8 +266,12 @@ WITH c AS (SELECT o_orderkey, {ORDER_ID} AS id, CASE
   WHEN o_orderkey % 4 = 1 THEN 'x-gts-ref validation failed: Value ''nope'' is not a valid GTS identifier' ELSE '' END AS error FROM orders)
 SELECT id, error = '' AS ok, error = '' AS valid, error FROM c""")
 def validate_instances(spark, sf_dir):
+    return check_registry(spark, sf_dir).validate_instances(orders(spark, sf_dir, id=ORDER_ID))
+
+
+def check_registry(spark: SparkSession, sf_dir: str) -> Registry:
     docs = orders(spark, sf_dir, content=CHECK_DOC).unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("o_orderkey"), F.lit(ORDER_SCHEMA).alias("content")))
-    return Registry.of(docs, seq="o_orderkey").validate_instances(orders(spark, sf_dir, id=ORDER_ID))
+    return Registry.of(docs, seq="o_orderkey")
 
 
 PART_ID = "'gts.x.cat.a.p' || " + S("p_partkey") + " || '.v{}~'"

@@ -2,7 +2,7 @@
 
 import pytest
 
-from idloom.plans import queries
+from idloom.plans import case_queries, queries  # noqa: F401 its queries are registered on import
 from tests.compare import compare
 
 SF = "/root/testdata/sf0.001"

@@ -5,8 +5,8 @@ import pytest
 from idloom.operators.registry import Registry, ingested, linted
 
 META = "http://json-schema.org/draft-07/schema#"
-PERSON, PERSON2 = "gts.test.pkg.ns.person.v1~", "gts.test.pkg.ns.person.v2~"
-ANN = f"{PERSON}test.pkg.ns.ann.v1.0"
+CRATE, CRATE2, LID = "gts.yard.stock.crate.box.v1~", "gts.yard.stock.crate.box.v2~", "gts.yard.stock.part.lid.v1~"
+B17, B18 = f"{CRATE}yard.stock.crate.b17.v1.0", f"{CRATE}yard.stock.crate.b18.v1.0"
 
 
 def schema(own, props, required=(), **more):
@@ -25,11 +25,12 @@ def pairs(spark, *rows, names="old string, new string"):
     return spark.createDataFrame(list(rows), names)
 
 
-def ann(**more):
-    return {"gtsId": ANN, "$schema": PERSON, "name": "Ann", "age": 3} | more
+def box(own=B17, **more):
+    return {"gtsId": own, "tare": 4} | more
 
 
-NAME_AGE = {"name": {"type": "string"}, "age": {"type": "number"}}
+#: A whole number of kilograms and at most two seals.
+SPEC = {"tare": {"type": "integer", "minimum": 1}, "seals": {"type": "array", "items": {"type": "string"}, "maxItems": 2}}
 
 
 def test_last_content_first_position(spark):
@@ -39,88 +40,101 @@ def test_last_content_first_position(spark):
 
 
 def test_instances(spark):
-    r = registry(spark, [schema(PERSON, NAME_AGE, ["name"]), ann(), {"gtsId": f"{PERSON}test.pkg.ns.bob.v1.0", "$schema": PERSON, "age": 1}, {"id": "lone"}, {"gtsId": "gts.x.y.z.t.v1~x.y.z.u.v1"}])
-    got = {x.id: x for x in r.validate_instances(ids(spark, ANN, f"{PERSON}test.pkg.ns.bob.v1.0", "lone", "none", "gts.x.y.z.t.v1~x.y.z.u.v1")).collect()}
-    assert got[ANN].ok and got[ANN].error == ""
-    assert got[f"{PERSON}test.pkg.ns.bob.v1.0"].error == "/ must have required property 'name'"
-    assert got["lone"].error == "No schema found for instance: lone" and got["none"].error == "Entity not found: none"
-    assert got["gts.x.y.z.t.v1~x.y.z.u.v1"].error == "Schema not found: gts.x.y.z.t.v1~"
+    wrong = {f"{CRATE}yard.stock.crate.b{i}.v1.0": (more, error) for i, (more, error) in enumerate([
+        ({"tare": 0}, "/tare must be >= 1"),
+        ({"seals": ["r", "s", "t"]}, "/seals must NOT have more than 2 items"),
+        ({"seals": ["r", 7]}, "/seals/1 must be string"),
+        ({"tare": 2.5}, "/tare must be integer"),
+    ])}
+    lone = "gts.x.y.z.t.v1~x.y.z.u.v1"
+    r = registry(spark, [schema(CRATE, SPEC, ["tare"]), box(), {"gtsId": B18, "seals": []}, {"id": "loose"}, {"gtsId": lone}, *(box(i, **more) for i, (more, _) in wrong.items())])
+    got = {x.id: x for x in r.validate_instances(ids(spark, B17, B18, "loose", "none", lone, *wrong)).collect()}
+    assert got[B17].ok and got[B17].error == ""
+    assert got[B18].error == "/ must have required property 'tare'"
+    assert got["loose"].error == "No schema found for instance: loose" and got["none"].error == "Entity not found: none"
+    assert got[lone].error == "Schema not found: gts.x.y.z.t.v1~"
+    assert {i: got[i].error for i in wrong} == {i: e for i, (_, e) in wrong.items()}
 
 
 def test_references_between_schemas(spark):
-    inner = "gts.test.pkg.ns.inner.v1~"
-    r = registry(spark, [schema(inner, {"n": {"type": "integer", "minimum": 2}}), schema(PERSON, {"in": {"$ref": f"gts://{inner}"}}), ann(**{"in": {"n": 1}})])
-    assert r.validate_instances(ids(spark, ANN)).first().error == "/in/n must be >= 2"
+    r = registry(spark, [schema(LID, {"hinges": {"type": "integer", "multipleOf": 2}}), schema(CRATE, {"lid": {"$ref": f"gts://{LID}"}}), box(lid={"hinges": 3})])
+    assert r.validate_instances(ids(spark, B17)).first().error == "/lid/hinges must be multiple of 2"
 
 
 def test_reference_constraints(spark):
-    owner = {"type": "string", "x-gts-ref": "gts.test.*"}
-    r = registry(spark, [schema(PERSON, NAME_AGE | {"owner": owner, "self": {"x-gts-ref": "/$$id", "type": "string"}}), ann(owner=PERSON, self=ANN)])
-    assert r.validate_instances(ids(spark, ANN)).first().ok
-    for value, reason in ((PERSON2, f"Referenced entity '{PERSON2}' not found in registry"), ("nope", "Value 'nope' is not a valid GTS identifier")):
-        r = registry(spark, [schema(PERSON, NAME_AGE | {"owner": owner}), ann(owner=value)])
-        assert r.validate_instances(ids(spark, ANN)).first().error == f"x-gts-ref validation failed: {reason}"
+    bay = {"type": "string", "x-gts-ref": "gts.yard.*"}
+    kind = {"x-gts-ref": "/$$id", "type": "string"}
+    lost = f"{LID}yard.stock.part.gone.v3"
+    many = {B17: box(bay=CRATE, kind=B17), B18: box(B18, bay=lost), f"{CRATE}a.b.c.d.v1": box(f"{CRATE}a.b.c.d.v1", bay="dock 4")}
+    r = registry(spark, [schema(CRATE, SPEC | {"bay": bay, "kind": kind}), *many.values()])
+    got = {x.id: x.error for x in r.validate_instances(ids(spark, *many)).collect()}
+    why = "x-gts-ref validation failed: "
+    assert list(map(got.get, many)) == ["", f"{why}Referenced entity '{lost}' not found in registry", f"{why}Value 'dock 4' is not a valid GTS identifier"]
 
 
 def test_relationships_and_graph(spark):
-    r = registry(spark, [schema(PERSON, {"friend": {"$ref": f"gts://{PERSON}"}}), ann(friend={"$ref": f"{PERSON}test.pkg.ns.gone.v1.0"}, pal=PERSON)])
-    x = {y.id: y for y in r.relationships(ids(spark, ANN, "none")).collect()}
-    assert x[ANN].relationships == sorted([PERSON, f"{PERSON}test.pkg.ns.gone.v1.0"]) and x[ANN].brokenReferences == [f"{PERSON}test.pkg.ns.gone.v1.0"]
+    gone = f"{LID}yard.stock.part.gone.v1.0"
+    r = registry(spark, [schema(CRATE, {"lid": {"$ref": f"gts://{LID}"}}), box(lid={"$ref": gone}, bays=[CRATE, "dock"])])
+    x = {y.id: y for y in r.relationships(ids(spark, B17, "none")).collect()}
+    assert x[B17].relationships == sorted([CRATE, gone]) and x[B17].brokenReferences == [gone]
     assert x["none"].error == "Entity not found: none"
-    tree = json.loads(r.graph(ids(spark, ANN)).first().tree)
-    assert tree["refs"]["friend.$ref"]["errors"] == ["Entity not found"] and tree["refs"]["$schema"]["id"] == PERSON and tree["schema_id"] == {"id": PERSON}
-    assert {(y.id, y.ref) for y in r.broken_references().collect()} == {(ANN, f"{PERSON}test.pkg.ns.gone.v1.0"), (PERSON, META)}
+    tree = json.loads(r.graph(ids(spark, B17)).first().tree)
+    assert tree["refs"]["lid.$ref"] == {"id": gone, "errors": ["Entity not found"]} and tree["refs"]["bays[0]"]["id"] == CRATE and tree["schema_id"] == {"id": CRATE}
+    assert {(y.id, y.ref) for y in r.broken_references().collect()} == {(B17, gone), (CRATE, META), (CRATE, LID)}
 
 
 @pytest.mark.parametrize(
     ("props", "required", "library", "registry_"),
     [
-        (NAME_AGE | {"email": {"type": "string"}}, ["name"], ([], []), ([], [])),
-        ({"fullName": {"type": "string"}, "age": {"type": "number"}}, ["fullName"], (["Required property 'name' removed in new schema"], ["New required property 'fullName' added"]), (["Added required properties: fullName"], ["Removed required properties: name"])),
-        (NAME_AGE | {"age": {"type": "integer"}}, ["name"], (["Property 'age' type incompatibly changed from number to integer"], []), (["Property 'age' type changed from number to integer"],) * 2),
-        (NAME_AGE | {"age": {"type": "number", "minimum": 1}}, ["name"], ([], []), (["Property 'age' added minimum constraint: 1"], [])),
+        (SPEC | {"marks": {"type": "array"}}, ["tare"], ([], []), ([], [])),
+        ({"seals": SPEC["seals"], "gross": {"type": "integer"}}, ["gross"], (["Required property 'tare' removed in new schema"], ["New required property 'gross' added"]), (["Added required properties: gross"], ["Removed required properties: tare"])),
+        (SPEC | {"tare": {"type": "number", "minimum": 1}}, ["tare"], ([], ["Property 'tare' type incompatibly changed from integer to number"]), (["Property 'tare' type changed from integer to number"],) * 2),
+        (SPEC | {"seals": {"type": "array", "items": {"type": "string"}, "maxItems": 1}}, ["tare"], ([], []), (["Property 'seals' maxItems decreased from 2 to 1"], [])),
     ],
 )
 def test_compatibility(spark, props, required, library, registry_):
-    r = registry(spark, [schema(PERSON, NAME_AGE, ["name"]), schema(PERSON2, props, required)])
+    r = registry(spark, [schema(CRATE, SPEC, ["tare"]), schema(CRATE2, props, required)])
     for flavor, (b, f), direction in (("library", library, "upgrade"), ("registry", registry_, "unknown")):
-        x = r.compatibility(pairs(spark, (PERSON, PERSON2)), flavor).first()
+        x = r.compatibility(pairs(spark, (CRATE, CRATE2)), flavor).first()
         assert (x.backward_errors, x.forward_errors, x.is_fully_compatible, x.direction) == (b, f, not b and not f, direction)
 
 
 def test_compatibility_of_missing(spark):
-    r = registry(spark, [schema(PERSON, NAME_AGE)])
-    x = r.compatibility(pairs(spark, (PERSON, PERSON2))).first()
-    assert x.backward_errors == [f"New schema not found: {PERSON2}"] and x.forward_errors == [] and not x.is_forward_compatible
-    assert r.compatibility(pairs(spark, (PERSON, PERSON2)), "registry").first().forward_errors == ["Schema not found"]
+    r = registry(spark, [schema(CRATE, SPEC)])
+    x = r.compatibility(pairs(spark, (CRATE, CRATE2))).first()
+    assert x.backward_errors == [f"New schema not found: {CRATE2}"] and x.forward_errors == [] and not x.is_forward_compatible
+    assert r.compatibility(pairs(spark, (CRATE, CRATE2)), "registry").first().forward_errors == ["Schema not found"]
 
 
 def test_cast(spark):
-    two = schema(PERSON2, NAME_AGE | {"email": {"type": "string", "default": ""}}, ["name"])
-    r = registry(spark, [schema(PERSON, NAME_AGE, ["name"]), two, ann(gtsId="gts.test.pkg.ns.person.v1.0~test.pkg.ns.ann.v1.0", extra=1)])
-    own = "gts.test.pkg.ns.person.v1.0~test.pkg.ns.ann.v1.0"
-    x = r.cast(pairs(spark, (own, PERSON2), names="id string, to string")).first()
-    assert x.error == "Source schema not found: gts.test.pkg.ns.person.v1.0~"
-    plain = {"id": f"{PERSON}test.pkg.ns.bob.v1.0", "name": "B", "nest": {"a": 1}}
-    nested = {"nest": {"type": "object", "properties": {"b": {"type": "string", "default": "x"}}, "additionalProperties": False}}
-    r = registry(spark, [schema(PERSON, NAME_AGE), schema(PERSON2, NAME_AGE | nested | {"email": {"type": "string", "default": ""}, "id": {}}, ["name"]), plain, ann()])
-    x = r.cast(pairs(spark, (plain["id"], PERSON2), names="id string, to string"), "registry").first()
-    assert x.ok and json.loads(x.casted_entity) == plain | {"nest": {"b": "x"}, "email": ""} and x.added_properties == ["email", "nest.b"] and x.removed_properties == ["nest.a"]
-    assert r.cast(pairs(spark, (ANN, PERSON2), names="id string, to string"), "registry").first().error == "Source must be an instance, not a schema"
-    x = r.cast(pairs(spark, (ANN, PERSON2), names="id string, to string")).first()
-    assert x.ok and json.loads(x.result) == {"gtsId": ANN.replace("v1.0", "v2.0"), "$schema": PERSON2, "name": "Ann", "age": 3, "email": ""}
+    marks = {"marks": {"type": "array", "default": ["none"]}}
+    lid = {"lid": {"type": "object", "properties": {"color": {"type": "string", "default": "grey"}}, "additionalProperties": False}}
+    minor = "gts.yard.stock.crate.box.v1.0~yard.stock.crate.b17.v1.0"
+    stated = box(f"{CRATE}yard.stock.crate.b19.v1.0", **{"$schema": CRATE})
+    r = registry(spark, [schema(CRATE, SPEC, ["tare"]), schema(CRATE2, SPEC | marks | lid, ["tare"]), box(extra=1), box(minor), box(B18, lid={"hinges": 2}), stated])
+    to = lambda own, flavor: r.cast(pairs(spark, (own, CRATE2), names="id string, to string"), flavor).first()
+    assert to(minor, "library").error == "Source schema not found: gts.yard.stock.crate.box.v1.0~"
+    x = to(B17, "library")
+    assert x.ok and json.loads(x.result) == {"gtsId": B17.replace("v1.0", "v2.0"), "tare": 4, "marks": ["none"]}
+    x = to(B18, "registry")
+    assert x.ok and json.loads(x.casted_entity) == box(B18, lid={"color": "grey"}, marks=["none"]) and x.added_properties == ["lid.color", "marks"] and x.removed_properties == ["lid.hinges"]
+    assert to(stated["gtsId"], "registry").error == "Source must be an instance, not a schema"
 
 
 def test_query_and_attributes(spark):
-    docs = [{"gtsId": f"gts.{v}.b.c.d.v1~{v}.b.c.e.v1.{i}", "n": i, "address": {"city": "X", "tags": [1, {"k": None}]}} for i, v in enumerate(("a", "a", "b"))]
+    docs = [{"gtsId": f"gts.{v}.b.c.d.v1~{v}.b.c.e.v1.{i}", "n": i, "load": {"unit": "kg", "steps": [1, {"k": None}]}} for i, v in enumerate(("a", "a", "b"))]
     r = registry(spark, docs)
     assert r.query_result("gts.a.*")["count"] == 2 and r.query_result("gts.a.*[n=1]")["items"] == [json.dumps(docs[1])]
-    assert r.query_result("gts.a.*", 1)["count"] == 1 and r.query_result("gts.a.*", float("nan"))["count"] == 2 and r.query_result("a*")["error"]
+    assert r.query_result("gts.a.*", 1)["count"] == 1 and r.query_result("a*")["error"]
+    assert r.query("gts.a.*", None).count() == r.query("gts.a.*", float("nan")).count() == 2
+    with pytest.raises(ValueError, match="unbounded"):
+        r.query_result("gts.a.*", None)
+    assert r.query_response("gts.a.*", 1) == {"error": "", "count": 1, "limit": 1, "results": [json.dumps(docs[0])]} and r.query_response("a*")["error"]
     assert [x.id for x in r.query_ids("gts.*", 2).collect()] == [docs[0]["gtsId"], docs[1]["gtsId"]] and r.query_bool(lambda q: q("gts.*") & ~q("gts.a.*")).count() == 1
     own = docs[0]["gtsId"]
-    want = {"address.city": '"X"', "address.tags[1].k": "null", "address.tags.0": "1", "address.tags.length": "2", "address.tags[9]": None, "missing": None, "": json.dumps(docs[0], separators=(",", ":"))}
+    want = {"load.unit": '"kg"', "load.steps[1].k": "null", "load.steps.0": "1", "load.steps.length": "2", "load.steps[9]": None, "missing": None, "": json.dumps(docs[0], separators=(",", ":"))}
     got = {x.path: x for x in r.attributes(spark.createDataFrame([(own, p) for p in want], "id string, path string")).collect()}
-    assert {p: x.value for p, x in got.items()} == want and got["address.tags[1].k"].resolved and not got["missing"].resolved
+    assert {p: x.value for p, x in got.items()} == want and got["load.steps[1].k"].resolved and not got["missing"].resolved
     at = {x.path: x for x in r.attributes_at(spark.createDataFrame([(f"{own}@n",), ("no at",)], "at string")).collect()}
     assert at["n"].value == "0" and at["no at"].error == "Invalid attribute path: missing @"
 
@@ -134,8 +148,8 @@ def test_saved_registry_prunes_scans(spark, tmp_path, capsys):
     assert "EqualTo(first_vendor,a)" in capsys.readouterr().out
 
 
-BASE = "gts.test.pkg.ns.base.v1~"
-CHILD = f"{BASE}test.pkg.ns.child.v1~"
+BASE = "gts.yard.stock.crate.base.v1~"
+CHILD = f"{BASE}yard.stock.crate.child.v1~"
 
 
 @pytest.mark.parametrize(
@@ -158,9 +172,9 @@ def test_parents(spark, base, child, error):
 
 
 def test_cycles_and_missing_parents(spark):
-    r = registry(spark, [{"$$id": CHILD, "$$schema": META, "allOf": [{"$ref": f"gts://{BASE}"}]}, {"$$id": BASE, "$$schema": META, "allOf": [{"$ref": f"gts://{CHILD}"}]}, {"$$id": PERSON, "$$schema": META, "allOf": [{"$ref": "gts://none"}]}])
-    got = {x.id: x.error for x in r.validate_schemas(ids(spark, CHILD, PERSON)).collect()}
-    assert got == {CHILD: f"Cyclic reference detected: {CHILD}", PERSON: "Parent schema not found: none"}
+    r = registry(spark, [{"$$id": CHILD, "$$schema": META, "allOf": [{"$ref": f"gts://{BASE}"}]}, {"$$id": BASE, "$$schema": META, "allOf": [{"$ref": f"gts://{CHILD}"}]}, {"$$id": CRATE, "$$schema": META, "allOf": [{"$ref": "gts://none"}]}])
+    got = {x.id: x.error for x in r.validate_schemas(ids(spark, CHILD, CRATE)).collect()}
+    assert got == {CHILD: f"Cyclic reference detected: {CHILD}", CRATE: "Parent schema not found: none"}
 
 
 TS = {"type": "object", "properties": {"color": {"type": "string"}, "size": {"type": "integer", "default": 1}}, "additionalProperties": False}
@@ -185,15 +199,15 @@ def test_traits(spark, base, child, schema_error, entity_error):
 
 
 def test_locked_traits(spark):
-    leaf = f"{CHILD}test.pkg.ns.leaf.v1~"
+    leaf = f"{CHILD}yard.stock.crate.leaf.v1~"
     r = registry(spark, [{"$$id": BASE, "$$schema": META, "x-gts-traits-schema": TS}, {"$$id": CHILD, "$$schema": META, "x-gts-traits": {"color": "red"}}, {"$$id": leaf, "$$schema": META, "x-gts-traits": {"color": "blue"}}])
     assert r.validate_schemas(ids(spark, leaf)).first().error == f"trait 'color' in '{leaf}' overrides value set by ancestor"
 
 
 def test_entities(spark):
-    r = registry(spark, [schema(BASE, {}), {"id": f"{BASE}test.pkg.ns.x.v1.0"}])
-    got = {x.id: (x.ok, x.entity_type, x.error) for x in r.validate_entities(ids(spark, BASE, f"{BASE}test.pkg.ns.x.v1.0", "none")).collect()}
-    assert got == {BASE: (True, "schema", ""), f"{BASE}test.pkg.ns.x.v1.0": (True, "instance", ""), "none": (False, "unknown", "Entity not found: none")}
+    r = registry(spark, [schema(BASE, {}), {"id": f"{BASE}yard.stock.crate.x.v1.0"}])
+    got = {x.id: (x.ok, x.entity_type, x.error) for x in r.validate_entities(ids(spark, BASE, f"{BASE}yard.stock.crate.x.v1.0", "none")).collect()}
+    assert got == {BASE: (True, "schema", ""), f"{BASE}yard.stock.crate.x.v1.0": (True, "instance", ""), "none": (False, "unknown", "Entity not found: none")}
 
 
 def test_lint_and_ingest(spark):
