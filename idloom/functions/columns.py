@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from idloom.operators import identifiers as ids
 
 SEGMENT = "struct<num: int, offset: int, segment: string, vendor: string, package: string, namespace: string, type: string, ver_major: bigint, ver_minor: bigint, is_type: boolean, is_wildcard: boolean, is_uuid_tail: boolean>"
-_SPACE = "[" + "".join(f"\\u{ord(c):04x}" for c in ids.SPACE) + "]"
-_EDGES = rf"\A{_SPACE}+|{_SPACE}+\z"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -25,7 +23,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGES, "")
+    return F.regexp_replace(text, jvm_pattern(ids.EDGES), "")
 
 
 def utf16_length(text: Column) -> Column:
@@ -39,9 +37,9 @@ def _number(text: Column) -> Column:
 def _fits(text: Column, pattern: bool) -> Column:
     """Whether a text is an identifier, or a pattern."""
     short = (F.length(text) <= ids.MAX_LENGTH // 2) | (utf16_length(strip(text)) <= ids.MAX_LENGTH)
-    whole = text.rlike(_java(ids.WHOLE))
-    whole = whole | text.rlike(_java(ids.ONE)) if pattern else whole
-    return short & (whole | (text.contains("*") & text.rlike(_java(ids.STARRED)) & (text == F.lower(text))))
+    whole = text.rlike(jvm_pattern(ids.WHOLE))
+    whole = whole | text.rlike(jvm_pattern(ids.ONE)) if pattern else whole
+    return short & (whole | (text.contains("*") & text.rlike(jvm_pattern(ids.STARRED)) & (text == F.lower(text))))
 
 
 def valid_or_null(text: Column) -> Column:
@@ -49,8 +47,9 @@ def valid_or_null(text: Column) -> Column:
     return _fits(text, False)
 
 
-def _java(pattern: str) -> str:
-    return pattern.removesuffix(r"\Z") + r"\z"
+def jvm_pattern(pattern: str) -> str:
+    """A pattern of module identifiers; only the end of a text is written in another way."""
+    return pattern.replace(r"\Z", r"\z")
 
 
 def _star_cause(text: Column) -> Column:

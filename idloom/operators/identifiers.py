@@ -58,6 +58,7 @@ def _at_most(most: int) -> str:
 # Whole identifiers and patterns as regular expressions that Python and the JVM read alike; what they don't match is parsed to tell why.
 VERSION = _at_most(MOST)
 _SP = "[" + "".join(f"\\u{ord(c):04x}" for c in SPACE) + "]*"
+EDGES = rf"\A{_SP[:-1]}+|{_SP[:-1]}+\Z"
 _PLAIN = rf"{TOKEN}(?:\.{TOKEN}){{3}}\.v{VERSION}(?:\.{VERSION})?"
 _FREE = r"[^.~*\-]+\."
 _STARTED = rf"\A{_SP}gts\.~?(?:{_SP}{_PLAIN}~)"
