@@ -3,9 +3,10 @@
 The byte-context tree is learned from all documents that may be learned from: window counts are summed over the corpus, for each
 order, and compiled with escapes and symbol exclusion (module ppm). No window is left out. The tree is never in one place: windows of
 contexts of CUT symbols and more are dealt by the last CUT of them, so a shard has all that a code length depends on besides
-the shorter orders, whose number the alphabet bounds. The code lengths of the most frequent windows, at most NODES, are
-broadcast; those of all others that texts have are computed in the shards and joined. The text that is modelled is the
-sequence of lower-cased words with single spaces, closed by the end symbol.
+the shorter orders, whose number the alphabet bounds. The code lengths of all windows that any text has, learned from or not, are computed
+there in one pass; those of the most frequent, at most NODES, are broadcast, the others joined. What is modelled is the text's token sequence:
+its lower-cased words with single spaces, closed by the end symbol; so texts that differ in white space only score alike, as
+in the base.
 
 Word counts (the base) are summed over all documents as well. Words frequent enough to fit a table of HOT words are
 looked up where the texts are read; all others are joined, so no frequent word becomes a hot key and no table grows with the corpus.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,9 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def counts(docs: DataFrame, text: str, order: int = ORDER) -> DataFrame:
-    """word, gram, n: how often each word (the end: empty) and each window occurs; one of the two keys is null."""
+def counts(docs: DataFrame, text: str, order: int = ORDER, learned: Column | None = None) -> DataFrame:
+    """word, gram, n: how often each word (the end: empty) and each window occurs in the documents learned from; one of the two keys is
+    null. Windows of other documents count as zero."""
     small_batches(docs.sparkSession)
 
     def flush(words: Counter, grams: list) -> Iterator[pa.RecordBatch]:
@@ -64,23 +66,28 @@ def counts(docs: DataFrame, text: str, order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, grams, held = Counter(), [], 0
         for piece in pieces(batches, "t"):
-            split = [words_of(t) for t in piece.column("t").to_pylist()]
-            for w in split:
+            split: dict[bool, list[list[bytes]]] = {True: [], False: []}
+            for t, own in zip(piece.column("t").to_pylist(), piece.column("l").to_pylist(), strict=True):
+                split[own].append(words_of(t))
+            for w in split[True]:
                 words.update(w)
-            words[END] += len(split)
-            grams.append(ppm.window_counts([b" ".join(w) for w in split], order))
-            held += len(grams[-1][0])
+            words[END] += len(split[True])
+            for own, texts in split.items():
+                k, c = ppm.window_counts([b" ".join(w) for w in texts], order)
+                grams.append((k, c if own else np.zeros_like(c)))
+                held += len(k)
             if held > HELD_WINDOWS:
                 grams = [ppm.merge_counts(grams)]
                 held = len(grams[0][0])
             if len(words) > HELD_WORDS or held > HELD_WINDOWS:
-                yield from flush(words, grams)
+                yield from flush(+words, grams)
                 words, grams, held = Counter(), [], 0
-        yield from flush(words, grams)
+        yield from flush(+words, grams)
         words, grams = None, None
         give_back()
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    flag = F.lit(True) if learned is None else F.coalesce(learned, F.lit(False))
+    return docs.select(F.col(text).alias("t"), flag.alias("l")).mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
 def least_count(rows: DataFrame, most: int) -> int:
@@ -125,25 +132,22 @@ def _sorted(t: pa.Table, j: int) -> tuple[np.ndarray, np.ndarray]:
     return key[at], k[at]
 
 
-def code_lengths(every: DataFrame, order: int, shard: int = SHARD) -> Callable[[DataFrame], DataFrame]:
-    """A function from distinct windows `gram` to gram, bits under the tree of all windows j, gram, k."""
+def code_lengths(every: DataFrame, asked: DataFrame, order: int, shard: int = SHARD) -> DataFrame:
+    """gram, n, bits: the distinct windows asked for (gram, n) and their code lengths under the tree of all windows j, gram, k."""
     cut = min(CUT, order + 1)
     low = every.filter(F.col("j") < cut).toArrow()
     shared = every.sparkSession.sparkContext.broadcast([_sorted(low, j) for j in range(cut)])
     long = every.filter(F.col("j") >= cut)
-    shards = max(1, -(-long.count() // shard))
+    shards = max(1, -(-(long.count() + asked.count()) // shard))
 
     def search(t: pa.Table) -> pa.Table:
         model = ppm.Model([*shared.value, *(_sorted(t, j) for j in range(cut, order + 1))])
-        asked, _ = _sorted(t, -1)
-        return pa.table({"gram": asked, "bits": model.bits(asked)})
+        gram, n = _sorted(t, -1)
+        return pa.table({"gram": gram, "n": n, "bits": model.bits(gram)})
 
-    def run(asked: DataFrame) -> DataFrame:
-        both = long.union(asked.select(F.lit(-1).alias("j"), "gram", F.lit(0).cast("long").alias("k")))
-        context = F.shiftright("gram", ppm.BITS).bitwiseAND(F.lit((1 << ppm.BITS * cut) - 1))
-        return both.withColumn("shard", F.pmod(F.xxhash64(context), F.lit(shards))).groupBy("shard").applyInArrow(search, "gram long, bits double")
-
-    return run
+    both = long.union(asked.select(F.lit(-1).alias("j"), "gram", F.col("n").alias("k")))
+    context = F.shiftright("gram", ppm.BITS).bitwiseAND(F.lit((1 << ppm.BITS * cut) - 1))
+    return both.withColumn("shard", F.pmod(F.xxhash64(context), F.lit(shards))).groupBy("shard").applyInArrow(search, "gram long, n long, bits double")
 
 
 class Frequent:
@@ -212,23 +216,26 @@ def adaptive(text: str | None, order: int = 3) -> float:
 def scored(docs: DataFrame, may_learn: Column, keep: list[str], text: str = "text", order: int = ORDER, hot: int = HOT, nodes: int = NODES) -> DataFrame:
     """The columns to keep, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    table_ = written(counts(docs.filter(may_learn), text, order))
+    table_ = written(counts(docs, text, order, may_learn))
     words = table_.filter("word is not null").select("word", "n")
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = least_count(words, hot)
     frequent = words.filter(F.col("n") >= least).toArrow()
     known = dict(zip(frequent["word"].to_pylist(), np.log10(frequent["n"].to_numpy() + SMALL).tolist(), strict=True))
     grams = table_.filter("gram is not null").select("gram", "n")
-    lengths = code_lengths(levels(grams, order), order)
-    top = lengths(grams.filter(F.col("n") >= least_count(grams, nodes))).toArrow()
+    learned = grams.filter("n > 0")
+    lengths = written(code_lengths(levels(learned, order), grams, order))
+    often = F.col("n") >= max(1, least_count(learned, nodes))
+    top = lengths.filter(often).select("gram", "bits").toArrow()
     at = np.argsort(keys := top["gram"].to_numpy(), kind="stable")
     shared = spark.sparkContext.broadcast((known, keys[at], top["bits"].to_numpy()[at]))
     own = token()
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
+    names = [f"k{i}" for i in range(len(keep))]  # whatever their own names are
+    fields = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(names, docs.select(*keep).schema.fields, strict=True))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known, scorer = worker_state(own, lambda: (shared.value[0], ppm.Scorer([Frequent(*shared.value[1:])], order, slots=21)))
-        split = [words_of(t) for t in batch.column("__text").to_pylist()]
+        split = [words_of(t) for t in batch.column("t").to_pylist()]
         bits, windows = known_bits(scorer, [b" ".join(w) for w in split])
         n, sums, hits, rare, at = [], [], [], [], [0]
         for w in split:
@@ -241,17 +248,18 @@ def scored(docs: DataFrame, may_learn: Column, keep: list[str], text: str = "tex
             hits.append(len(found))
             sums.append(math.fsum(found))
         rest = pa.ListArray.from_arrays(np.array(at, np.int32), pa.array(rare, pa.binary()))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array(bits), rest, windows], names=[*keep, "n_tokens", "hits", "sums", "own_bits", "rare", "windows"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()), pa.array(bits), rest, windows], names=[*names, "n_tokens", "hits", "sums", "own_bits", "rare", "windows"])
 
     # ids are given once and written with the rows
-    rows = written(map_texts(docs.select(*keep, F.col(text).alias("__text")), "__text", run, f"{fields}n_tokens long, hits long, sums double, own_bits double, rare array<binary>, windows array<long>").withColumn("rid", F.monotonically_increasing_id()))
+    source = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("t"))
+    rows = written(map_texts(source, "t", run, f"{fields}n_tokens long, hits long, sums double, own_bits double, rare array<binary>, windows array<long>").withColumn("rid", F.monotonically_increasing_id()))
     others = rows.select("rid", F.explode("rare").alias("word")).join(words.filter(F.col("n") < least), "word", "left")
     rest = others.groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + SMALL)).alias("s"), F.count("n").alias("k"))
     asked = rows.select("rid", F.explode("windows").alias("gram"))
-    more = asked.join(lengths(asked.select("gram").distinct()), "gram").groupBy("rid").agg(F.sum("bits").alias("more_bits"))
+    more = asked.join(lengths.filter(~often).select("gram", "bits"), "gram").groupBy("rid").agg(F.sum("bits").alias("more_bits"))
     floor = math.log10(whole["n"] + SMALL * (whole["v"] + 1))
     return rows.join(rest, "rid", "left").join(more, "rid", "left").select(
-        *keep,
+        *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)],
         "n_tokens",
         (F.col("hits") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(whole["n"]).cast("long").alias("train_tokens"),

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from tests.llm import test_ppm
 
 from idloom.llm import lang_id
 
@@ -28,6 +29,23 @@ def test_accuracy_nulls_ties_and_repeats(spark):
     assert sum(r.doc_id == 1004 for r in got) == 2 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_against_plain_loops(spark):
+    """Predictions, posteriors and code lengths by the definition, with all documents learned; a tie goes to the first language."""
+    r = random.Random(8)
+    train = [(i, "".join(r.choices("abc " if i % 3 == 0 else "abd ", k=r.randrange(1, 40))), ("x", "y", "z")[i % 3], 0) for i in range(24)]
+    train += [(100 + i, t, "yy", 0) for i, t, l, _ in train if l == "y"]  # y and yy are learned alike
+    texts = ["".join(r.choices("abcd\u00e9 ", k=r.randrange(1, 30))) + "a" for _ in range(30)] + ["é", "b" * 500]
+    names, models = lang_id.learn(spark.createDataFrame(train, SCHEMA), F.lit(True), order=2)
+    got = lang_id.predict(spark.createDataFrame([(i, t, "x", 5) for i, t in enumerate(texts)], SCHEMA), names, models, ["doc_id"], order=2).collect()
+    assert names == ["x", "y", "yy", "z"]
+    for row in got:
+        raw = texts[row.doc_id].encode()
+        bits = {n: test_ppm.brute([t.encode() for _, t, l, _ in train if l == n], 2, raw) for n in names}
+        best = min(bits.values())
+        assert bits[row.lang_pred] == pytest.approx(best) and row.lang_pred != "yy"
+        assert row.score == pytest.approx(1 / sum(2 ** (best - b) for b in bits.values())) and row.bits_per_byte == pytest.approx(best / (len(raw) + 1))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert lang_id.learn(docs, F.lit(True)) == ([], [])

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -43,6 +44,47 @@ def test_gradients():
             assert abs(slope - g[name][at]) < 2e-3 + 0.02 * abs(slope), (name, slope, g[name][at])
 
 
+def plain_score(net, text):
+    """The highest window's probability, by loops over words, gates and units."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sigma = lambda x: 1 / (1 + math.exp(-x))
+
+    def vector(word):
+        rows, _ = t.gram_rows([word])
+        return [*p["word"][net.vocabulary.get(word, 0)], *p["char"][rows].mean(axis=0)]
+
+    def states(window, k):
+        h, out = [0.0] * t.STATE, []
+        for x in window:
+            a = [sum(x[i] * p["w"][k][i][j] for i in range(len(x))) + p["b"][k][0][j] for j in range(3 * t.STATE)]
+            g = [sum(h[i] * p["u"][k][i][j] for i in range(t.STATE)) for j in range(3 * t.STATE)]
+            new = []
+            for j in range(t.STATE):
+                z, reset = sigma(a[j] + g[j]), sigma(a[t.STATE + j] + g[t.STATE + j])
+                c = math.tanh(a[2 * t.STATE + j] + reset * g[2 * t.STATE + j])
+                new.append(z * h[j] + (1 - z) * c)
+            h = new
+            out.append(h)
+        return out
+
+    words = t.words_of(text)
+    best = 0.0
+    for start in t.window_starts(len(words)):
+        x = [vector(w) for w in words[start : start + t.WINDOW]]
+        both = [a + b for a, b in zip(states(x, 0), states(x[::-1], 1)[::-1], strict=True)]
+        energy = [sum(math.tanh(sum(s[i] * p["wa"][i][j] for i in range(len(s))) + p["ba"][j]) * p["va"][j] for j in range(t.ATTENTION)) for s in both]
+        weight = [math.exp(e - max(energy)) for e in energy]
+        pooled = [sum(w * s[i] for w, s in zip(weight, both, strict=True)) / sum(weight) for i in range(2 * t.STATE)]
+        best = max(best, sigma(sum(a * b for a, b in zip(pooled, p["wo"], strict=True)) + p["bo"][0]))
+    return best
+
+
+def test_scores_against_plain_loops():
+    net = t.train([r[1] for r in corpus(60)], [r[3] for r in corpus(60)])
+    texts = [r[1] for r in corpus(6, seed=5)] + ["vile", "Ka, MO ti!", "neu word " * 40]
+    assert np.allclose(t.Scorer(net).scores(texts), [plain_score(net, x) for x in texts], atol=1e-4)
+
+
 def test_windows_cover_and_overlap():
     for n in range(0, 300):
         starts = t.window_starts(n)
