@@ -268,6 +268,19 @@ def cast_cases(spark, sf_dir):
     return found.select("instance_id", "casted_entity", F.array_join("added_properties", ",").alias("added"), F.array_join("removed_properties", ",").alias("removed"), "error")
 
 
+_GS = "gts.x.grf.a.s§.v1~"
+_GA, _GB, _GX = (f"{_GS}x.grf.a.{n}.v1" for n in "abx")
+_GONE = ',"errors":["Entity not found"]'
+TREE = f'{{"id":"{_GA}","refs":{{"b":{{"id":"{_GB}","refs":{{"a[0]":{{"id":"{_GA}"}}}},"schema_id":{{"id":"{_GS}"{_GONE}}}}},"gone":{{"id":"{_GX}"{_GONE}}}}},"schema_id":{{"id":"{_GS}"}}}}'
+
+
+@query(f"SELECT {cases([_GA])} AS id, {cases([TREE])} AS tree FROM part")
+def graph_cases(spark, sf_dir):
+    """Two documents that name each other, one that isn't there, and a schema that isn't."""
+    r = registry(spark, sf_dir, [f'{{"gtsId":"{_GA}","b":"{_GB}","gone":"{_GX}"}}'], [f'{{"gtsId":"{_GB}","a":["{_GA}"]}}'])
+    return r.graph(wanted(spark, sf_dir, id=[_GA]))
+
+
 # --- ingest and files ---
 
 

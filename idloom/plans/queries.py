@@ -403,9 +403,6 @@ def ingest(spark, sf_dir):
     return ingested(table(spark, sf_dir, "part").select("p_partkey", F.expr(LINT_DOC).alias("content")), validate=True).select("p_partkey", "status", "reason")
 
 
-def _graph(spark, sf_dir):
-    """Trees of a few schemas; recursive, so without SQL."""
+@query(f"""SELECT {_S_CHILD} AS id, '{{"id":"' || {_S_CHILD} || '","schema_id":{{"id":"' || {_S_BASE} || '"}}}}' AS tree FROM supplier""")
+def graph(spark, sf_dir):
     return _supplier_registry(spark, sf_dir).graph(_supplier_ids(spark, sf_dir))
-
-
-QUERIES["reg_graph"] = _graph

@@ -13,11 +13,6 @@ def test_same_rows_as_sql(spark, name):
     assert compare(spark, SF, queries.QUERIES[name], queries.SQL[name]) is None
 
 
-def test_graph(spark):
-    rows = queries.QUERIES["reg_graph"](spark, SF).collect()
-    assert len(rows) == 10 and all('"schema_id"' in r.tree for r in rows)
-
-
 def test_entry(spark):
     import __spark_entry__
 
