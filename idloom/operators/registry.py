@@ -313,10 +313,29 @@ class Registry:
 
     # --- versions ---
 
-    def _pairs(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
-        both = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().withColumn("key", F.concat_ws(" ", "a", "b"))
-        one = F.array("a", "b", columns.strip(F.col("a")), columns.strip(F.col("b")))
-        return self._with_env(both, both.select("key", F.explode(F.array_distinct(one)).alias("id")))
+    @staticmethod
+    def _spelled(ids_: DataFrame) -> DataFrame:
+        """key and id: each key as it is and without outer spaces."""
+        return ids_.select("key").distinct().select("key", F.explode(F.array_distinct(F.array("key", columns.strip(F.col("key"))))).alias("id"))
+
+    def _pairs(self, pairs: DataFrame, a: str, b: str, instances: bool = False) -> DataFrame:
+        """a, b and env: the documents that both need. What an id needs is gathered once, in however many pairs it is; of instances
+        (a) it is what their schemas need."""
+        both = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+        firsts, seconds = self._spelled(both.select(F.col("a").alias("key"))), self._spelled(both.select(F.col("b").alias("key")))
+        doc = F.struct("id", "schema_id", "is_schema", "content")
+        if instances:
+            own = written(firsts.join(self.entities.select("id", "schema_id", "is_schema", "content"), "id"))
+            named = own.filter("schema_id is not null").select(F.col("schema_id").alias("key")).distinct()
+            env = written(self.environment(seconds.union(named.select("key", F.col("key").alias("id")))))
+            of_schema = env.select(F.col("key").alias("schema_id"), "env")
+            first = own.join(of_schema, "schema_id", "left").groupBy("key").agg(F.flatten(F.collect_list(F.array_append(F.coalesce("env", F.array().cast(of_schema.schema["env"].dataType)), doc))).alias("first"))
+        else:
+            env = written(self.environment(firsts.union(seconds)))
+            first = env.select("key", F.col("env").alias("first"))
+        rows = both.join(first.withColumnRenamed("key", "a"), "a", "left").join(env.select(F.col("key").alias("b"), F.col("env").alias("second")), "b", "left")
+        none = F.array().cast(env.schema["env"].dataType)
+        return rows.select("a", "b", F.concat(F.coalesce("first", none), F.coalesce("second", none)).alias("env"))
 
     def compatibility(self, pairs: DataFrame, flavor: str = "library") -> DataFrame:
         """A result for each pair of old and new."""
@@ -334,7 +353,7 @@ class Registry:
                     out[k] = dumps(out[k])
             return [out]
 
-        return per_row(self._pairs(pairs, "id", "to"), run, CASTS[flavor], lambda r, e: casting.failure(r["a"], r["b"], e, flavor))
+        return per_row(self._pairs(pairs, "id", "to", instances=True), run, CASTS[flavor], lambda r, e: casting.failure(r["a"], r["b"], e, flavor))
 
 
 def linted(docs: DataFrame, content: str = "content") -> DataFrame:
