@@ -108,16 +108,19 @@ def divided(own: np.ndarray, visits: np.ndarray, to: tuple, split: tuple, radius
     return (own[d <= m], visits[e - radius <= m]), (own[d > m], np.concatenate((own[(d <= m) & (d + radius > m)], visits[e + radius > m])))
 
 
-def grow(points: np.ndarray, visits: np.ndarray, target: int, radius: int = RADIUS) -> list[tuple]:
-    """The routing tree as rows (vantage point, m, inside, outside); a child below zero is shard -1 - child. visits: which points
-    don't belong; target: points of a shard, visits counted."""
+def grow(points: np.ndarray, visits: np.ndarray, target: int, radius: int = RADIUS) -> tuple[list[tuple], list[int]]:
+    """The routing tree as rows (vantage point, m, inside, outside); a child below zero is shard -1 - child. Then the shards that are too large
+    but that no split parts. visits: which points don't belong; target: points of a shard, visits counted."""
     nodes: list[list] = []
-    shards = 0
+    shards, whole = 0, []
 
     def build(own: np.ndarray, seen: np.ndarray) -> int:
         nonlocal shards
-        split = vantage(points[own], points[seen], radius, len(nodes)) if len(own) > 1 and len(own) + len(seen) > target else None
+        large = len(own) + len(seen) > target
+        split = vantage(points[own], points[seen], radius, len(nodes)) if large and len(own) > 1 else None
         if split is None:
+            if large:
+                whole.append(shards)
             shards += 1
             return -shards
         at = len(nodes)
@@ -126,7 +129,7 @@ def grow(points: np.ndarray, visits: np.ndarray, target: int, radius: int = RADI
         return at
 
     build(np.flatnonzero(~visits), np.flatnonzero(visits))
-    return [tuple(n) for n in nodes]
+    return [tuple(n) for n in nodes], whole
 
 
 def route(tree: list[tuple], points: np.ndarray, visits: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,11 +183,11 @@ def forest(points: np.ndarray, visits: np.ndarray, radius: int = RADIUS) -> np.n
     return labels
 
 
-_PLACE = "shard long, fp long, visits boolean"
+_PLACE = "shard long, fp long, visits boolean, whole boolean"
 
 
-def _places(shard: np.ndarray, fp: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(fp), pa.array(who)], names=["shard", "fp", "visits"])
+def _places(shard: np.ndarray, fp: np.ndarray, who: np.ndarray, whole: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(fp), pa.array(who), pa.array(np.isin(shard, whole))], names=["shard", "fp", "visits", "whole"])
 
 
 def _first_level(nodes: DataFrame, radius: int) -> DataFrame:
@@ -192,7 +195,7 @@ def _first_level(nodes: DataFrame, radius: int) -> DataFrame:
     n = nodes.count()
     picked = nodes.filter(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(_RANGE)) < int(_RANGE * min(1, SAMPLE / max(1, n)))).select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
     scale = n / max(1, len(picked))
-    tree = grow(np.sort(picked), np.zeros(len(picked), bool), max(16, int(SHARD / max(1.0, scale))), radius)
+    tree, _ = grow(np.sort(picked), np.zeros(len(picked), bool), max(16, int(SHARD / max(1.0, scale))), radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -204,52 +207,52 @@ def _first_level(nodes: DataFrame, radius: int) -> DataFrame:
                 fp = np.concatenate(held)
                 held, rows = [], 0
                 shard, index, who = route(tree, fp.view(np.uint64), np.zeros(len(fp), bool), radius)
-                yield _places(shard, fp[index], who)
+                yield _places(shard, fp[index], who, [])
 
     return nodes.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(deal, _PLACE)
 
 
-def _next_level(large: DataFrame, level: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """The shards (with c, their sizes) dealt anew, and those that can't be split."""
+def _next_level(large: DataFrame, level: int, radius: int) -> DataFrame:
+    """The shards (with c, their sizes) dealt anew. What a sample of a shard's own can't part stays whole."""
+    kinds = (np.int64, np.uint64, np.int64, np.int64, np.int64)
 
     def fit(key: tuple, t: pa.Table) -> pa.Table:
         points, visits, c = t["fp"].to_numpy().view(np.uint64), t["visits"].to_numpy(), t["c"][0].as_py()
         at = np.argsort(points, kind="stable")
-        scale = max(1.0, c / len(points))
-        rows = grow(points[at], visits[at], max(16, int(SHARD / scale)), radius)
-        v, m, inside, outside = (np.array(x, k) for x, k in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64, np.int64), strict=True)) if rows else (np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64))
-        return pa.table({"shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "at": np.arange(len(rows)), "v": v.view(np.int64), "m": m, "inside": inside, "outside": outside})
+        rows, whole = grow(points[at], visits[at], max(16, int(SHARD / max(1.0, c / len(points)))), radius)
+        every = [(i, *row) for i, row in enumerate(rows)] + [(-1 - i, 0, 0, 0, 0) for i in whole]  # below zero: a shard that stays
+        at, v, m, inside, outside = (np.array(x, k) for x, k in zip(zip(*every, strict=True), kinds, strict=True)) if every else (np.zeros(0, k) for k in kinds)
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(every), pa.int64()), "at": at, "v": v.view(np.int64), "m": m, "inside": inside, "outside": outside})
 
     def again(key: tuple, t: pa.Table, tree: pa.Table) -> pa.Table:
         tree = tree.sort_by("at")
-        rows = list(zip(tree["v"].to_numpy().view(np.uint64), *(tree[c].to_pylist() for c in ("m", "inside", "outside")), strict=True))
+        at = tree["at"].to_numpy()
+        rows = list(zip(tree["v"].to_numpy().view(np.uint64)[at >= 0], *(tree[c].to_numpy()[at >= 0].tolist() for c in ("m", "inside", "outside")), strict=True))
         fp = t["fp"].to_numpy()
         shard, index, who = route(rows, fp.view(np.uint64), t["visits"].to_numpy(), radius)
-        return pa.Table.from_batches([_places(shard, fp[index], who)]).append_column("of", pa.array([key[0].as_py()] * len(shard), pa.int64()))
+        return pa.Table.from_batches([_places(shard, fp[index], who, (-1 - at[at < 0]).tolist())]).append_column("of", pa.array([key[0].as_py()] * len(shard), pa.int64()))
 
     sample = large.filter(F.pmod(F.xxhash64(F.lit(level), "fp"), F.lit(_RANGE)) < F.lit(_RANGE) * F.least(F.lit(1.0), FIT / F.col("c")))
     trees = written(sample.groupBy("shard").applyInArrow(fit, "shard long, at long, v long, m long, inside long, outside long"))
     tasks = F.ceil(F.col("c") / ROUTED)
-    known = large.join(trees.select("shard").distinct(), "shard", "left_semi").withColumn("part", F.pmod(F.xxhash64("fp"), tasks))
+    known = large.withColumn("part", F.pmod(F.xxhash64("fp"), tasks))
     parts = trees.join(large.select("shard", tasks.alias("k")).distinct(), "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     dealt = known.groupBy("shard", "part").cogroup(parts.groupBy("shard", "part")).applyInArrow(again, f"{_PLACE}, of long")
     # shards of equal hashes would be one, which loses nothing
-    dealt = dealt.select(F.xxhash64("of", "shard").alias("shard"), "fp", "visits")
-    return dealt, large.join(trees.select("shard").distinct(), "shard", "left_anti").select("shard", "fp", "visits")
+    return dealt.select(F.xxhash64("of", "shard").alias("shard"), "fp", "visits", "whole")
 
 
 def shards(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """shard, fp, visits: the places of all fingerprints. A shard of more than twice SHARD is one that can't be split."""
+    """shard, fp, visits: the places of all fingerprints. A shard of more than twice SHARD is one that no split parts."""
     out, dealt, level = None, written(_first_level(nodes, radius)), 0
     while True:
         level += 1
-        sizes = written(dealt.groupBy("shard").agg(F.count("*").alias("c")).filter(F.col("c") > 2 * SHARD))
+        sizes = written(dealt.filter("not whole").groupBy("shard").agg(F.count("*").alias("c")).filter(F.col("c") > 2 * SHARD))
         if sizes.isEmpty():
-            return dealt if out is None else out.union(dealt)
+            return (dealt if out is None else out.union(dealt)).select("shard", "fp", "visits")
         small = dealt.join(sizes, "shard", "left_anti")
-        dealt, whole = _next_level(dealt.join(sizes, "shard"), level, radius)
-        out = small.union(whole) if out is None else out.union(small).union(whole)
-        dealt = written(dealt)
+        out = small if out is None else out.union(small)
+        dealt = written(_next_level(dealt.join(sizes, "shard"), level, radius))
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -52,7 +52,7 @@ def test_tree_loses_no_link():
     fps = clustered(r, 1500)
     points = np.array(fps, np.uint64)
     none = np.zeros(len(points), bool)
-    tree = s.grow(points[::3], none[::3], 40)
+    tree, _ = s.grow(points[::3], none[::3], 40)
     shard, index, visits = s.route(tree, points, none)
     assert sorted(index[~visits]) == list(range(len(fps))) and len(set(shard)) > 10
     labels = np.arange(len(fps))
