@@ -100,22 +100,6 @@ def least_count(rows: DataFrame, most: int) -> int:
     return 1 << (b + 1)
 
 
-def tree(grams: DataFrame, order: int = ORDER, nodes: int = NODES) -> ppm.Model:
-    """The compiled tree of the windows gram, n."""
-    levels, least = [], None
-    grams = grams.withColumn("k", F.col("n"))
-    for j in range(order, -1, -1):
-        if j < order:  # n: occurrences, by which windows are kept; k: what the tree counts
-            grams = written(grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << ppm.BITS * (j + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("k")))
-        own = least_count(grams, nodes)
-        # a window that a longer order keeps is kept here: it was seen at least as often
-        least = own if least is None else min(own, least)
-        got = grams.filter(F.col("n") >= least).toArrow()
-        at = np.argsort(key := got["gram"].to_numpy(), kind="stable")
-        levels.append((key[at], got["k"].to_numpy()[at]))
-    return ppm.Model(levels[::-1])
-
-
 def levels(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """j, gram, k: all windows of the orders 0 to `order`, and what the tree counts."""
     out = grams.select(F.lit(order).alias("j"), "gram", F.col("n").alias("k"))

@@ -6,7 +6,6 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from idloom.llm import lm_score as s
-from idloom.llm import ppm
 from tests.llm.test_ppm import brute
 
 SCHEMA = "doc_id long, text string, n int, word string"
@@ -57,20 +56,6 @@ def test_against_definitions(spark):
             assert abs(r.score - want) < 1e-6
 
 
-def test_bounded_tree_is_a_distribution(spark):
-    rows = [("abracadabra %d" % (i % 7)).encode() for i in range(40)]
-    k, c = ppm.merge_counts([ppm.window_counts(rows, 4)])
-    model = s.tree(spark.createDataFrame(list(zip(k.tolist(), c.tolist(), strict=True)), "gram long, n long"), 4, nodes=20)
-    assert max(len(x) for x in model.pairs) <= 20
-    import numpy as np
-
-    for context in (b"abra", b"a  1"):
-        at = 0
-        for x in context:
-            at = at << ppm.BITS | x
-        assert abs(np.exp2(-model.bits(np.array([at << ppm.BITS | x for x in range(ppm.SYMBOLS)]))).sum() - 1) < 1e-9
-
-
 def test_adaptive_learns():
     assert s.adaptive("abc " * 50) > 12 * s.adaptive("abc " * 4)
     assert abs(s.adaptive(None) + math.log10(257)) < 1e-9
