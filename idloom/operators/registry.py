@@ -168,7 +168,8 @@ class Registry:
             return [out if v is documents.MISSING else out | {"resolved": True, "value": dumps(v)}]
 
         there = self.entities.select("id", "content", F.lit(True).alias("there"))
-        return per_row(wanted.select("id", "path").join(there, "id", "left"), value, "id string, path string, resolved boolean, value string, error string")
+        failed = lambda row, e: {"id": row["id"], "path": row["path"], "resolved": False, "value": None, "error": e}
+        return per_row(wanted.select("id", "path").join(there, "id", "left"), value, "id string, path string, resolved boolean, value string, error string", failed)
 
     def attributes_at(self, wanted: DataFrame, strict: bool = False) -> DataFrame:
         """As attributes, for rows of `at`, an id and a path with @ between; path is all of `at` if there is none. strict: what hasn't

@@ -76,6 +76,15 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def _whole(x: object) -> object:
+    """With every half of a surrogate pair replaced."""
+    if isinstance(x, str):
+        return x.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    if isinstance(x, dict):
+        return {_whole(k): _whole(v) for k, v in x.items()}
+    return [_whole(v) for v in x] if isinstance(x, list) else x
+
+
 #: Calls of functions within one another in a task; documents are nested up to a thousand deep, in Python without using up the stack.
 CALLS = 50_000
 
@@ -96,6 +105,10 @@ def per_row(df: DataFrame, fn: Callable[[dict], Iterator[dict] | list[dict]], sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(CALLS)
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([out for row in batch.to_pylist() for out in rows(row)], schema=arrow)
+            out = [x for row in batch.to_pylist() for x in rows(row)]
+            try:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            except UnicodeEncodeError:  # halves of surrogate pairs, which JSON can spell and no table can hold
+                yield pa.RecordBatch.from_pylist([_whole(x) for x in out], schema=arrow)
 
     return df.mapInArrow(run, schema)

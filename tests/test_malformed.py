@@ -76,3 +76,11 @@ def test_failures_are_rows(spark):
 
     rows = spark.range(3)
     assert sorted((r.id, r.n, r.e) for r in per_row(rows, lambda row: [x | {"e": ""} for x in fails(row)], "id long, n long, e string", lambda row, e: {"id": row["id"], "n": -1, "e": e}).collect()) == [(0, -1, "ZeroDivisionError: integer division or modulo by zero"), (1, 1, ""), (2, 0, "")]
+
+
+def test_odd_texts(spark):
+    docs = ['{"gtsId":"gts.x.y.z.t.v1~","half":"\\ud800 x","list":[1]}', '{"gtsId":"gts.x.y.z.t.v2~","half":5,"big":' + "9" * 5000 + "}"]
+    r = Registry.of(spark.createDataFrame(list(enumerate(docs)), "seq long, content string"))
+    asked = spark.createDataFrame([("gts.x.y.z.t.v1~", p) for p in ("half", "list[\u00b2]", "list.\u00b2", "list[0]")], "id string, path string")
+    got = {x.path: (x.resolved, x.value) for x in r.attributes(asked).collect()}
+    assert got == {"half": (True, '"\ufffd x"'), "list[\u00b2]": (False, None), "list.\u00b2": (False, None), "list[0]": (True, "1")}
