@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The words of a partition's batch that aren't in the word table yet are laid out as one linked list of
-symbols. An index maps every pair to all its positions; ranks with occurrences are active and taken in ascending
+The words of a partition are taken by pieces of about 2 MB of its texts; those of a piece that aren't in the worker's word table yet
+are laid out as one linked list of symbols. An index maps every pair to all its positions; ranks with occurrences are active and taken in ascending
 order; the positions of a rank merge from left to right and the lists of the neighbouring pairs are updated.
 If a merge makes a pair of lower rank active, that rank goes first, as in encoding word by word.
 
